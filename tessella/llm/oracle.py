@@ -12,6 +12,28 @@ m AS (SELECT k.*, rep.key IS NOT NULL AS gone FROM k LEFT JOIN rep ON k.key = re
 SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id""",
+    "op6_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, unnest(range(1, 1 + len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')))) AS i FROM d),
+g AS (SELECT r, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+n AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, i + unnest([0, 1, 2]) AS j FROM h) GROUP BY r),
+k AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+x AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+  count(*) FILTER (regexp_matches(line, '(\.\.\.|…) *$')) AS dotted, count(*) FILTER (regexp_matches(line, '^ *[-*•]')) AS bulleted
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+a AS (SELECT d.r, doc_id, t, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(dotted, 0) AS dotted,
+  coalesce(bulleted, 0) AS bulleted, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS capitals
+  FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN x ON d.r = x.r LEFT JOIN n ON d.r = n.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR 2 * capitals > letters OR 2 * letters < word_chars
+    OR (10 * dotted > 5 * n_lines AND n_lines >= 4) OR (10 * bulleted > 9 * n_lines AND n_lines >= 8)) AS kept
+FROM b""",
     "op8_url_filter": r"""
 WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, regexp_extract(rest, '^([^?#]*)', 1) AS rest FROM p),

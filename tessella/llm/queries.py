@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from . import language_id, quality_cnn
+from .common import crc_mod, scratch_path, table
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .url_filter import url_verdicts
 from .warc import read_archive, write_archive
@@ -23,10 +25,27 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4).eqNullSafe(F.lit(2))
+    model = language_id.fit(language_id.labelled_sample(docs, ~held_out, "doc_id", "text", "lang", docs_per_lang=40, doc_chars=4000))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5).eqNullSafe(F.lit(0))
+    net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_cnn.classify(docs, net, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, max_tokens=4096)
 
@@ -53,4 +72,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_pack, op8_url_filter, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_line_dedup, op5_quality, op6_quality_rules, op7_pack, op8_url_filter, op9_warc, op10_token_counts)}
