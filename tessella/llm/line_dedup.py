@@ -19,7 +19,7 @@ ignored. With ``keep="first"`` the first occurrence (least id, then line) stays.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ids, in_batches, pick, scratch_path, written
+from .common import ids, in_batches, scratch_path, written
 
 #: Bits of a filter that travel together.
 _SEGMENT = 1 << 19
@@ -178,24 +178,38 @@ def line_dedup(
     filter_tasks: int = 2048,
     most_keys: int = MOST_KEYS,
     most_key_bytes: int = MOST_KEY_BYTES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept_sha256, kept_text`` for each row.
+    """``doc_id, n_lines, n_dropped, kept_sha256, kept_text`` for each row; the columns ``carry`` stay with it, in a struct ``carried``.
 
     A line goes if its key has at least ``min_chars`` code points and is in at least ``min_docs`` documents;
     ``keep="first"`` spares its first occurrence (rows with a null id only follow others).
     """
-    docs = pick(docs, id_col, text_col)
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(0)
+    whole = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), carried.alias("carried"))
+    docs = whole.select("doc_id", "text")
     first = {"none": False, "first": True}[keep]
     keys = repeated_keys(docs, min_docs, min_chars, log2_bits, filter_tasks)
     n, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("key") + 48), F.lit(0))).first()
     long = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")]
     schema = T.StructType([docs.schema["doc_id"], *long, T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     arrow = to_arrow_schema(schema)
+    with_carried = T.StructType([*schema, whole.schema["carried"]])
+
+    given = lambda done: done if carry else done.drop("carried")
 
     def kept(doc_id, lines: list[bytes], drop: list[bool]) -> tuple:
         stay = b"\n".join([x for x, d in zip(lines, drop, strict=True) if not d])
         return doc_id, len(lines), sum(drop), hashlib.sha256(stay).hexdigest(), stay.decode()
 
+    def rewritten(batches: Iterator[pa.RecordBatch], repeats) -> Iterator[pa.RecordBatch]:
+        """``repeats(row)``: the repeated keys that concern a row of the batch."""
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                done = next(in_batches((mark(d, t.as_py(), repeats(part, i)) for i, (d, t) in enumerate(zip(ids(part), part.column(1), strict=True))), arrow, 512))
+                yield pa.RecordBatch.from_arrays([*done.columns, part.column(2)], names=[*arrow.names, "carried"])
+
     def mark(doc_id, text: str | None, repeats: dict) -> tuple:
         lines, keys = keys_of(text)
         if first:
@@ -214,15 +228,11 @@ def line_dedup(
         got = keys.select("key", "first_id", "first_line").toArrow()
         known = docs.sparkSession.sparkContext.broadcast({k: (d, i) for k, d, i in zip(*(c.to_pylist() for c in got.columns), strict=True)})
 
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from in_batches((mark(d, t.as_py(), known.value) for d, t in zip(ids(batch), batch.column(1), strict=True)), arrow, 512)
-
-        return docs.mapInArrow(apply, schema)
+        return given(whole.mapInArrow(lambda batches: rewritten(batches, lambda part, i: known.value), with_carried))
 
     # Too many to broadcast: join lines with the repeated keys by digest, and each document with its own few.
     path = scratch_path(docs.sparkSession, "lines-numbered")
-    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    whole.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     numbered = docs.sparkSession.read.parquet(path)
     pair = "row long, key binary"
 
@@ -232,11 +242,7 @@ def line_dedup(
             yield from in_batches(((r, k) for r, t in zip(ids(batch, "row"), batch.column(1), strict=True) for k in {*keys_of(t.as_py())[1]} if k), out)
 
     hits = numbered.select("row", "text").mapInArrow(explode, pair).join(keys, "key").groupBy("row").agg(F.collect_list(F.struct("key", "first_id", "first_line")).alias("hits"))
-    joined = numbered.join(hits, "row", "left").select("doc_id", "text", "hits")
-
-    def apply_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(ids(batch), batch.column(1), batch.column(2), strict=True)
-            yield from in_batches((mark(d, t.as_py(), {h["key"]: (h["first_id"], h["first_line"]) for h in own.as_py() or ()}) for d, t, own in rows), arrow, 512)
+    joined = numbered.join(hits, "row", "left").select("doc_id", "text", "carried", "hits")
 
-    return joined.mapInArrow(apply_own, schema)
+    own = lambda part, i: {h["key"]: (h["first_id"], h["first_line"]) for h in part.column(3)[i].as_py() or ()}
+    return given(joined.mapInArrow(lambda batches: rewritten(batches, own), with_carried))

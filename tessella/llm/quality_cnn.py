@@ -185,3 +185,18 @@ def scored(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], mos
                 held, texts, size = [], [], 0
     if held:
         yield from zip(held, scores(net, texts).tolist(), strict=True)
+
+
+def keep_good(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs``, with all its columns, without the rows that score below ``threshold``."""
+    known = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                good = scores(known.value, [(t.as_py() or "").encode() for t in part.column(place)]) >= threshold
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

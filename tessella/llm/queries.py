@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_cnn
 from .common import crc_mod, scratch_path, table
+from .decontaminate import contamination
 from .line_dedup import line_dedup
+from .ngram_join import similar_classes
 from .packing import pack
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -32,10 +34,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5).eqNullSafe(F.lit(0))
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -72,4 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_line_dedup, op5_quality, op6_quality_rules, op7_pack, op8_url_filter, op9_warc, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op4_ngram_join, op5_quality, op6_quality_rules, op7_pack, op8_url_filter, op9_warc, op10_token_counts)
+}
