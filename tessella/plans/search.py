@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import query_tokens, snippet
-from ..operators import assist, dedup, hop, rank, routes
+from ..operators import assist, dedup, hop, rank
+from ..operators import routes as rules
 from ..sources.stored import scratch
 
 
@@ -25,9 +26,9 @@ class SearchConfig:
     context_chars: int = 7200
     rrf_k: int = 60
     weights: Mapping[str, float] = field(default_factory=lambda: dict(fixed.RRF_WEIGHTS))
-    routes: Sequence[routes.Route] = ()
-    features: Sequence[routes.Feature] = ()
-    intents: Sequence[routes.Intent] = routes.INTENTS
+    routes: Sequence[rules.Route] = ()
+    features: Sequence[rules.Feature] = ()
+    intents: Sequence[rules.Intent] = rules.INTENTS
     expansions: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(fixed.EXPANSIONS))
 
 
@@ -58,17 +59,17 @@ class HybridIndex:
 
     def structured(self, parsed: DataFrame) -> DataFrame:
         c = self.config
-        lists = [routes.exact_candidates(self.chunks, parsed, max(8 * c.top_k, 40))]
+        lists = [rules.exact_candidates(self.chunks, parsed, max(8 * c.top_k, 40))]
         if c.routes:
-            lists.append(routes.routed_candidates(self.chunks, parsed, c.routes, max(12 * c.top_k, 80)))
+            lists.append(rules.routed_candidates(self.chunks, parsed, c.routes, max(12 * c.top_k, 80)))
         return rank.merge_max(*lists)
 
     def candidates(self, queries: DataFrame, query_vectors: DataFrame | None = None) -> DataFrame:
         """``query_id, channel, chunk_id, rank, score`` of each channel."""
         c = self.config
-        parsed = routes.parsed(queries, c.intents, c.expansions)
-        lexical = routes.rule_rerank(rank.top_k(rank.fts_bm25(self.chunks, queries), c.lexical), self.chunks, parsed, c.features)
-        structured = routes.rule_rerank(self.structured(parsed), self.chunks, parsed, c.features)
+        parsed = rules.parsed(queries, c.intents, c.expansions)
+        lexical = rules.rule_rerank(rank.top_k(rank.fts_bm25(self.chunks, queries), c.lexical), self.chunks, parsed, c.features)
+        structured = rules.rule_rerank(self.structured(parsed), self.chunks, parsed, c.features)
         channels = [("lexical", rank.top_k(lexical, c.lexical)), ("structured", rank.top_k(structured, c.structured))]
         if self.vectors is not None and query_vectors is not None:
             channels.append(("dense", rank.dense_topk(self.vectors, query_vectors, c.dense, "chunk_id")))
@@ -87,7 +88,7 @@ class HybridIndex:
         near = rank.top_k(rank.neighbours(seeds, self.chunks, c.neighbour_window, c.neighbour_limit), c.neighbour_limit)
         both = base.select("query_id", F.lit("base").alias("channel"), "chunk_id", "rank", "score").unionByName(near.select("query_id", F.lit("near").alias("channel"), "chunk_id", "rank", "score"))
         merged = rank.rrf(both, {"base": 1.0, "near": 0.85}, c.rrf_k).select("query_id", "chunk_id", "score")
-        parsed = routes.parsed(queries, c.intents, c.expansions).select("query_id", "codes", F.col("names").alias("phrases"))
+        parsed = rules.parsed(queries, c.intents, c.expansions).select("query_id", "codes", F.col("names").alias("phrases"))
         hits = merged.join(self.chunks, "chunk_id").join(parsed, "query_id")
         picked = dedup.greedy_diverse(hits, c.top_k, "codes", "phrases")
         if rerank is None:
