@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,8 +53,17 @@ def drop_written(df: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def bounded_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+    """``df``; from now on the session hands Python at most ``most`` rows at once, so that long texts don't fill workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > most:
+        df.sparkSession.conf.set(key, str(most))
+    return df
+
+
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under fixed names, whatever else the table holds."""
+    bounded_batches(docs)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
@@ -91,3 +101,9 @@ def crc_mod(id_col: str, n: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs any more: it does so when the driver collects its garbage, which may otherwise take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

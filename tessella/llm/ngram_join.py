@@ -1,18 +1,21 @@
 """N-gram Jaccard join with signature trees (operator 4): classes of documents linked by similar sets of word shingles.
 
 The search is exact. Documents with equal sets are one node. Any two sets of the asked
-similarity share one of the first shingles of each, in an order common to all sets and as few
-as the threshold lets (prefix filter); the order puts shingles that are frequent in the corpus
-last, so that a passage many documents share brings none of them together. Within a prefix
+similarity share some of the first shingles of each, in an order common to all sets (prefix
+filter: with as many shingles beyond the threshold's slack as are to be shared); the order puts
+shingles that are frequent in the corpus last, so that a passage many documents share brings
+none of them together. Within a prefix
 shingle, a signature tree finds the candidate pairs: its nodes hold OR-combined bitmaps and
 size ranges, and dual traversal drops every node pair whose largest possible overlap is too
 small. Candidates are then checked on their whole sets.
 
-Large groups of near copies would make every pair of them a candidate. So pairs of documents
-with equal minimum hashes are checked first, each document against one leader a band only; the
-components of these true links are known to the trees, which drop node pairs inside one
-component. Lost links are impossible: a pair skipped is already connected. Prefix groups beyond
-``cell`` members are split into blocks and pairs of blocks, so no task gets an unbounded group.
+Large groups of near copies would make every pair of them a candidate. So the trees are searched
+twice: first each document brings only its most similar candidate of each prefix group, and in
+large groups only those of its own block of ``cell`` members and of the first block, so
+candidates grow with the input and not with a group's square. What is linked is one component,
+and the trees drop node pairs inside one. The second search takes every candidate that is left,
+between all pairs of blocks, so no link is lost: a pair skipped is already connected. Groups in
+which the first search found no candidate are done with.
 
 Texts are read once for sizes and bitmaps, once for prefixes, and once for each check, where
 only the sets of candidate documents (told by a Bloom filter of fixed size) are shuffled.
@@ -34,49 +37,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ids, in_batches, pick, written
+from .common import drop_written, free_shuffles, ids, in_batches, pick, written
 from .components import components
 from .frequent import heaviest
 from .line_dedup import Bits
-from .shingles import SIG_BITS, Shingler, bands, bitmap, set_key
-from .signature_tree import SignatureTree
+from .shingles import SIG_BITS, bitmap, set_key, shingle_sets
+from .signature_tree import SignatureTree, alike, best_partners, close_pairs
 
 #: Shingle occurrences that a task counts together, and how often one must be there to be a frequent one.
 _COUNTED, _OFTEN = 1_000_000, 6
 #: Frequent shingles that are broadcast (16 bytes each). More or fewer change costs only.
 _MOST_FREQUENT = 200_000
+#: A prefix has one more shingle, and similar sets one more in common there, for so many shingles of a set.
+_SHARE = 64
+#: Members of a prefix group whose tree is one leaf.
+_LEAF = 16
 #: Keys of sets that a task remembers in order not to repeat a copy's prefix.
 _SEEN = 200_000
 #: log2 of the bits that tell candidate sets in a scan.
 _CANDIDATE_BITS = 25
 
 
+def _common(n):
+    """How many shingles the prefixes of similar sets have in common at least, the smaller number of the two counting."""
+    return 1 + n // _SHARE
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, key, bands, sig`` of each document (key null: no shingles), and rows ``token, df`` of frequent shingles; written once."""
-    id_field = docs.schema["doc_id"]
-    names = T.StructType([T.StructField("doc_id", id_field.dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("token", T.LongType()), T.StructField("df", T.LongType())])
+    """``doc_id, n, text_hash, key, sig`` of each document (key null: no shingles), and rows ``token, df`` of frequent shingles; written once."""
+    fields = (("n", T.LongType()), ("text_hash", T.LongType()), ("key", T.BinaryType()), ("sig", T.BinaryType()), ("token", T.LongType()), ("df", T.LongType()))
+    names = T.StructType([docs.schema["doc_id"], *[T.StructField(*f) for f in fields]])
     arrow = to_arrow_schema(names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         held: list[np.ndarray] = []
 
         def often() -> Iterator[tuple]:
             if held:
-                tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+                tokens = np.sort(np.concatenate(held))
+                starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                counts = np.diff(np.append(starts, len(tokens)))
                 many = counts >= _OFTEN
-                yield from ((None, None, None, None, None, t, c) for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True))
+                yield from ((None,) * 5 + x for x in zip(tokens[starts[many]].view(np.int64).tolist(), counts[many].tolist(), strict=True))
             held.clear()
 
         def rows() -> Iterator[tuple]:
             size = 0
             for batch in batches:
-                for doc_id, text in zip(ids(batch), batch.column(1), strict=True):
-                    s = shingler.of(text.as_py())
+                for doc_id, h, s in zip(ids(batch), ids(batch, "text_hash"), shingle_sets(batch.column(1), words), strict=True):
                     if not len(s):
                         yield doc_id, 0, None, None, None, None, None
                         continue
-                    yield doc_id, len(s), set_key(s), bands(s), bitmap(s), None, None
+                    yield doc_id, len(s), h, set_key(s), bitmap(s), None, None
                     held.append(s)
                     size += len(s)
                     if size > _COUNTED:
@@ -86,7 +98,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
         yield from in_batches(rows(), arrow, 1024)
 
-    return written(docs.mapInArrow(scan, names), "sets")
+    return written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, names), "sets")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
@@ -94,40 +106,38 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     arrow = pa.schema([("key", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        seen: set[bytes] = set()
         token, weight = frequent.value
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for text in batch.column(0):
-                    s = shingler.of(text.as_py())
+                for s in shingle_sets(batch.column(0), words):
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
                     if len(seen) < _SEEN:
                         seen.add(key)
-                    df = np.zeros(len(s), np.int64)
+                    n = len(s) - -(-percent * len(s) // 100) + int(_common(len(s)))
                     if len(token):
                         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                         df = np.where(token[at] == s, weight[at], 0)
-                    n = len(s) - -(-percent * len(s) // 100) + 1
-                    yield key, s[np.argsort(df, kind="stable")[:n]].view(np.int64)
+                        s = s[np.argsort(df, kind="stable")]
+                    yield key, s[:n].view(np.int64)
 
         yield from in_batches(rows(), arrow, 1024)
 
     return docs.select("text").mapInArrow(scan, "key binary, tokens array<long>")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``: node ids) whose sets have the similarity; written once."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "key"), "nid")
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes, of fixed size: where it fills up, it lets more through."""
+    arrow, segment = pa.schema([("at", pa.int32()), ("bits", pa.binary())]), 1 << 16
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bits(_CANDIDATE_BITS)
         for batch in batches:
-            bits.add(np.array([int.from_bytes(k[:8], "little") for k in batch.column(0).to_pylist()], np.uint64))
-        segment = 1 << 16
-        yield from in_batches(((i, bits.data[i : i + segment].tobytes()) for i in range(0, len(bits.data), segment) if bits.data[i : i + segment].any()), pa.schema([("at", pa.int32()), ("bits", pa.binary())]), 16)
+            bits.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        parts = ((i, bits.data[i : i + segment]) for i in range(0, len(bits.data), segment))
+        yield from in_batches(((i, b.tobytes()) for i, b in parts if b.any()), arrow, 16)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -135,32 +145,45 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
             for at, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = np.frombuffer(b, np.uint8)
                 held[at] = b | held[at] if at in held else b
-        yield from in_batches(((at, b.tobytes()) for at, b in held.items()), pa.schema([("at", pa.int32()), ("bits", pa.binary())]), 16)
+        yield from in_batches(((at, b.tobytes()) for at, b in held.items()), arrow, 16)
 
-    # at most 4 MB of bits a task and in the end; when they fill up, more sets are shuffled and none is lost
-    whole = wanted.select("key").coalesce(64).mapInArrow(mark, "at int, bits binary").repartition(16, "at").mapInArrow(merge, "at int, bits binary").toArrow()
+    whole = hashes.coalesce(64).mapInArrow(mark, "at int, bits binary").repartition(16, "at").mapInArrow(merge, "at int, bits binary").toArrow()
     data = np.zeros(1 << _CANDIDATE_BITS >> 3, np.uint8)
     for at, b in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
         data[at : at + len(b)] = np.frombuffer(b, np.uint8)
-    known = spark.sparkContext.broadcast(data)
+    return data
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``: node ids; the fewer different ones first) whose sets have the similarity; written once.
+
+    Texts are told by the hash of a node's own text before any is cut into words, so a check costs what its candidates cost.
+    """
+    spark = docs.sparkSession
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "key", "text_hash"), "nid")
+    known = spark.sparkContext.broadcast(_marks(wanted.select("text_hash")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bits, seen = Shingler(words), Bits(_CANDIDATE_BITS, known.value), set()
+        bits, seen = Bits(_CANDIDATE_BITS, known.value), set()
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for text in batch.column(0):
-                    s = shingler.of(text.as_py())
-                    if len(s) and (key := set_key(s)) not in seen and bits.test(np.array([int.from_bytes(key[:8], "little")], np.uint64))[0]:
-                        if len(seen) < _SEEN:
-                            seen.add(key)
-                        yield key, s.tobytes()
+                hashes = batch.column(0).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(bits.test(hashes.view(np.uint64)))
+                hit = hit[[h not in seen for h in hashes[hit].tolist()]] if len(hit) else hit
+                hit = hit[np.unique(hashes[hit], return_index=True)[1]]
+                if len(seen) < _SEEN:
+                    seen.update(hashes[hit].tolist())
+                for s in shingle_sets(batch.column(1).take(pa.array(hit)), words):
+                    if len(s):
+                        yield set_key(s), s.tobytes()
 
         yield from in_batches(rows(), pa.schema([("key", pa.binary()), ("s", pa.binary())]), 512)
 
-    found = docs.select("text").mapInArrow(scan, "key binary, s binary")
-    sets = written(wanted.join(found, "key").groupBy("nid").agg(F.first("s").alias("s")), "candidates")
-    both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("y")), "b")
+    found = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter("text IS NOT NULL").mapInArrow(scan, "key binary, s binary")
+    sets = written(wanted.select("nid", "key").join(found, "key").groupBy("nid").agg(F.first("s").alias("s")), "candidates")
+    right = pairs.join(sets.select(F.col("nid").alias("b"), F.col("s").alias("y")), "b")
+    left = sets.join(pairs.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi").select(F.col("nid").alias("a"), F.col("s").alias("x"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,51 +191,87 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
             ok = []
             for i in range(len(batch)):
                 s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                same = len(np.intersect1d(s, t, assume_unique=True))
+                both = np.sort(np.concatenate([s, t]))
+                same = int((both[1:] == both[:-1]).sum())
                 ok.append((100 + percent) * same >= percent * (len(s) + len(t)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    links = written(right.join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    known.destroy()
+    drop_written(sets)
+    free_shuffles(spark)
+    return links
+
 
+def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, best: bool) -> DataFrame:
+    """``token, a, b, need``: candidate pairs that the signature trees of prefix groups with two labels or more leave; written once.
 
-def _tree_pairs(postings: DataFrame, nodes: DataFrame, percent: int, cell: int) -> DataFrame:
-    """Candidate pairs of ``postings`` (``token, nid, label``): the signature trees of all prefix groups with two labels or more."""
-    groups = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low <> high").select("token", "members")
-    own = postings.join(groups, "token").withColumn("k", F.ceil(F.col("members") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    cells = own.select("token", "nid", "label", "block", other).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "label")
+    ``members``: ``token, nid, label, size``. ``best``: of each document its most similar candidate alone (see above), if
+    their bitmaps share more than chance; a cell whose candidates are all left out has a row without a pair (a = -1).
+    """
+    groups = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
+    own = (members if best else members.join(groups, "token", "left_semi")).withColumn("k", F.ceil(F.col("size") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
+    blocks = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.lit(0), "block")) if best else F.sequence(F.lit(0), F.col("k") - 1)
+    cells = own.select("token", "nid", "label", "block", F.explode(blocks).alias("other")).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "label")
     cells = cells.join(nodes.select("nid", "n", "sig"), "nid").select("token", "i", "j", "block", "nid", "label", "n", "sig")
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    arrow = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            block, nid, label, n = (rows.column(c).to_numpy() for c in ("block", "nid", "label", "n"))
+        def out(rows: pa.Table, sizes: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, overlap: np.ndarray) -> Iterator[pa.RecordBatch]:
+            block, nid, token = (rows.column(c).to_numpy() for c in ("block", "nid", "token"))
+            keep = (rows.column("i").to_numpy()[a] == rows.column("j").to_numpy()[a]) | (block[a] != block[b])  # a cell of two blocks is for the pairs across them
+            a, b, overlap = a[keep], b[keep], overlap[keep]
+            if best and len(a):
+                cells = np.unique(token[a])
+                keep = alike(sig, a, b)
+                a, b, overlap = a[keep], b[keep], overlap[keep]
+                keep = best_partners(a, b, overlap, sizes)
+                a, b = a[keep], b[keep]
+                none = np.full(len(cells), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cells, none, none, none)], schema=arrow)
+            if len(a):
+                need = _common(sizes)
+                columns = (token[a], np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b]), np.minimum(need[a], need[b]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
+
+        def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, SIG_BITS // 8)
-            across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-            for a, b in SignatureTree(n, sig, label).pairs(percent):
-                if across:
-                    differ = block[a] != block[b]
-                    a, b = a[differ], b[differ]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nid[a], nid[b])), pa.array(np.maximum(nid[a], nid[b]))], schema=arrow)
+            return rows.column("n").to_numpy(), sig, rows.column("label").to_numpy()
+
+        def whole(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of complete cells: small ones, trees of one leaf, all together, each other by its tree."""
+            sizes = np.diff(edges)
+            small = (sizes > 1) & (sizes <= _LEAF)
+            if small.any():
+                cells = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.flatnonzero(small[cells])
+                part = rows.take(pa.array(at))
+                n, sig, label = arrays(part)
+                yield from out(part, n, sig, *close_pairs(n, sig, label, cells[at], percent))
+            for k in np.flatnonzero(sizes > _LEAF):
+                part = rows.slice(int(edges[k]), int(sizes[k]))
+                n, sig, label = arrays(part)
+                found = list(SignatureTree(n, sig, label).pairs(percent)) if best else SignatureTree(n, sig, label).pairs(percent)
+                if best:
+                    found = [tuple(np.concatenate(x) for x in zip(*found, strict=True))] if found else []
+                for pairs in found:
+                    yield from out(part, n, sig, *pairs)
 
         rest: pa.Table | None = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             if rest is not None:
-                now = pa.concat_tables([rest, now])
+                now = pa.concat_tables([rest, now]).combine_chunks()
             key = np.stack([now.column(c).to_numpy() for c in ("token", "i", "j")])
-            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
-            for s, e in zip(edges, edges[1:], strict=False):
-                if e - s > 1:
-                    yield from of(now.slice(s, e - s))
-            rest = now.slice(edges[-1])
-        if rest is not None and len(rest) > 1:
-            yield from of(rest)
+            edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+            yield from whole(now, edges)
+            rest = now.slice(int(edges[-1]))
+        if rest is not None:
+            yield from whole(rest, np.array([0, len(rest)]))
 
     # no count is given, so that the number of partitions follows the session's setting
     dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return written(dealt.mapInArrow(search, "a long, b long").distinct(), "tree-pairs")
+    return written(dealt.mapInArrow(search, "token long, a long, b long, need long"), "tree-pairs")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cell: int = 1024) -> DataFrame:
@@ -220,26 +279,39 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = pick(docs, id_col, text_col)
     spark = docs.sparkSession
     table = _sets(docs, words)
-    sets = table.filter("n IS NOT NULL").select("doc_id", "n", "key", "bands", "sig")
+    sets = table.filter("n IS NOT NULL").select("doc_id", "n", "text_hash", "key", "sig")
     hot = heaviest(table.filter("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")), "df", _MOST_FREQUENT).toArrow()
     token, weight = hot.column("token").to_numpy().astype(np.int64).view(np.uint64), hot.column("df").to_numpy().astype(np.int64)
     order = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[order], weight[order]))
 
-    nodes = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    own = [F.first(c).alias(c) for c in ("n", "text_hash", "sig")]
+    nodes = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), *own)
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
-    # true links from each document to the first of those with an equal band
-    banded = nodes.select("nid", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("nid").alias("a"), F.count("*").alias("members")).filter("members > 1").select("band", "a")
-    starred = banded.join(leaders, "band").filter("nid <> a").select("a", F.col("nid").alias("b")).distinct()
-    first = _similar(docs, written(starred, "leader-pairs"), nodes, words, percent)
+    prefixes = _prefixes(docs, words, percent, frequent).dropDuplicates(["key"]).join(nodes.select("key", "nid"), "key")
+    prefixes = written(prefixes.select("nid", "tokens"), "prefixes")
+    frequent.destroy()
+    free_shuffles(spark)
+    # dealt by shingle once, for the groups' counts and for their members
+    postings = prefixes.select(F.explode("tokens").alias("token"), "nid").repartition("token")
+    sizes = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(postings.join(sizes, "token").select("token", "nid", "size"), "members")
+    drop_written(prefixes)
+    free_shuffles(spark)
+
+    found = _searched(members.withColumn("label", F.col("nid")), nodes, percent, cell, True)
+    # only groups with a candidate, or too large to have been searched whole, can have one later
+    live = found.select("token").union(members.filter(F.col("size") > cell).select("token")).distinct()
+    members = written(members.join(live, "token", "left_semi"), "live-members")
+    first = _similar(docs, written(found.filter("a >= 0").select("a", "b").distinct(), "pairs"), nodes, words, percent)
     labels = components(first)
 
-    # links between components, by the signature trees of prefix groups
-    postings = _prefixes(docs, words, percent, frequent).dropDuplicates(["key"]).join(nodes.select("key", "nid"), "key").select("nid", "tokens")
-    postings = postings.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"), F.explode("tokens").alias("token"))
-    second = _similar(docs, _tree_pairs(postings, nodes, percent, cell), nodes, words, percent)
+    labelled = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("token", "nid", "size", F.coalesce("label", "nid").alias("label"))
+    found = _searched(labelled, nodes, percent, cell, False)
+    # a pair that may be similar comes from the group of every shingle that its prefixes share
+    met = found.groupBy("a", "b", "need").agg(F.count("*").alias("met")).filter("met >= need")
+    second = _similar(docs, written(met.select("a", "b"), "pairs"), nodes, words, percent)
     if second.limit(1).count():
         labels = components(first.union(second))
 

@@ -24,21 +24,19 @@ class SignatureTree:
             at = np.arange(0, len(low), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
 
-    def _may(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether sets below nodes a and b may have the similarity: by sizes, groups and the largest possible overlap."""
+    def _overlaps(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """The largest possible overlap of sets below nodes a and b; -1 where sizes, groups or that overlap rule the similarity out."""
         bits, low, high, spare, first, last = self.levels[level]
         ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
         ok &= ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
+        out = np.full(len(a), -1, np.int64)
         k = np.flatnonzero(ok)
-        a, b = a[k], b[k]
-        # An element in both sets has its bit in both bitmaps; beyond one element a bit, a set has ``spare`` at most.
-        overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1) + np.minimum(spare[a], spare[b])
-        overlap = np.minimum(overlap, np.minimum(high[a], high[b]))
-        ok[k] = (100 + percent) * overlap >= percent * (low[a] + low[b])
-        return ok
-
-    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (in the order given to the tree) of all pairs whose similarity may be ``percent`` or more."""
+        out[k] = largest_overlap(bits, spare, high, a[k], b[k])
+        out[(100 + percent) * out < percent * (low[a] + low[b])] = -1
+        return out
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions (in the order given to the tree) of all pairs whose similarity may be ``percent`` or more, and their largest overlaps."""
         top = len(self.levels) - 1
         waiting = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while waiting:
@@ -49,12 +47,14 @@ class SignatureTree:
             if level == 0:
                 differ = a != b
                 a, b = a[differ], b[differ]
-            ok = self._may(level, a, b, percent) | (a == b if level else False)
+            overlap = self._overlaps(level, a, b, percent)
+            first, last = self.levels[level][4:]
+            ok = (overlap >= 0) | ((a == b) & (first[a] != last[a]) if level else False)
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
             if level == 0:
-                yield self.order[a], self.order[b]
+                yield self.order[a], self.order[b], overlap[ok]
                 continue
             below = len(self.levels[level - 1][0])
             step = np.arange(FANOUT)
@@ -62,3 +62,45 @@ class SignatureTree:
             y = np.tile(b[:, None] * FANOUT + step, (1, FANOUT)).ravel()
             keep = (x <= y) & (x < below) & (y < below)
             waiting.append((level - 1, x[keep], y[keep]))
+
+
+def largest_overlap(bits: np.ndarray, spare: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An element in both sets has its bit in both bitmaps; beyond one element a bit, a set has ``spare`` at most."""
+    overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64) + np.minimum(spare[a], spare[b])
+    return np.minimum(overlap, np.minimum(sizes[a], sizes[b]))
+
+
+def close_pairs(sizes: np.ndarray, bitmaps: np.ndarray, groups: np.ndarray, cell: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree's test for many trees of one leaf at once: pairs of entries with equal ``cell`` (entries are sorted by it), and their largest overlaps."""
+    n, bits = sizes.astype(np.int64), bitmaps.view(np.uint64)
+    spare = n - np.bitwise_count(bits).sum(axis=1)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for step in range(1, len(n)):
+        a = np.flatnonzero(cell[step:] == cell[:-step])
+        if not len(a):
+            break
+        b = a + step
+        keep = (groups[a] != groups[b]) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
+        a, b = a[keep], b[keep]
+        overlap = largest_overlap(bits, spare, n, a, b)
+        keep = (100 + percent) * overlap >= percent * (n[a] + n[b])
+        found.append((a[keep], b[keep], overlap[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def best_partners(a: np.ndarray, b: np.ndarray, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs are, for one of their entries, the most similar at most; equal ones: the first entry's."""
+    like = overlap / (sizes[a] + sizes[b] - overlap)
+    entry, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((np.concatenate([b, a]), -np.tile(like, 2), entry))
+    first = np.concatenate([[True], entry[order][1:] != entry[order][:-1]]) if len(order) else np.zeros(0, bool)
+    return np.unique(pair[order][first])
+
+
+def alike(bitmaps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps of pairs share more than chance: at least half of what they could share beyond it."""
+    bits = bitmaps.view(np.uint64)
+    n = np.bitwise_count(bits).sum(axis=1).astype(float)
+    shared = np.concatenate([np.zeros(0), *[np.bitwise_count(bits[a[i : i + _CHUNK]] & bits[b[i : i + _CHUNK]]).sum(axis=1) for i in range(0, len(a), _CHUNK)]])
+    chance = n[a] * n[b] / (bitmaps.shape[1] * 8)
+    return shared - chance >= 0.5 * (np.minimum(n[a], n[b]) - chance)
