@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ids, in_batches, pick
+from .common import bounded_batches, ids, in_batches, pick
 
 _TOKEN = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, coverage: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
     """``docs``, with all its columns, without the contaminated rows; one pass of filters, one for each block."""
-    place = docs.columns.index(text_col)
+    place = bounded_batches(docs).columns.index(text_col)
     for seeds in _seed_blocks(docs, benchmark, item_col, item_text_col, min_match, block_chars):
 
         def scan(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ids, in_batches, scratch_path, written
+from .common import bounded_batches, ids, in_batches, scratch_path, written
 
 #: Bits of a filter that travel together.
 _SEGMENT = 1 << 19
@@ -164,7 +164,9 @@ def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: int
 
     keys = docs.mapInArrow(suspects, schema).groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.when(F.col("first.doc_id").isNotNull(), F.col("first"))).alias("first"))
     keys = keys.filter(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.doc_id").alias("first_id"), F.col("first.line").alias("first_line"))
-    return written(keys, "repeated-lines")
+    keys = written(keys, "repeated-lines")
+    known.destroy()
+    return keys
 
 
 def line_dedup(
@@ -186,7 +188,7 @@ def line_dedup(
     ``keep="first"`` spares its first occurrence (rows with a null id only follow others).
     """
     carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(0)
-    whole = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), carried.alias("carried"))
+    whole = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), carried.alias("carried"))
     docs = whole.select("doc_id", "text")
     first = {"none": False, "first": True}[keep]
     keys = repeated_keys(docs, min_docs, min_chars, log2_bits, filter_tasks)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ids, in_batches
+from .common import bounded_batches, ids, in_batches
 from .pretokens import PreTokenizer
 
 #: Pre-tokens whose ids a task remembers; the memory is emptied when it is full.
@@ -129,7 +129,7 @@ def pack(
 
     ``prompt_col`` names a text whose tokens come first and bear no loss; without it every token bears loss.
     """
-    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *([docs[prompt_col].cast("string").alias("prompt")] if prompt_col else []))
+    chosen = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *([docs[prompt_col].cast("string").alias("prompt")] if prompt_col else []))
     long = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")]
     schema = T.StructType([T.StructField("doc_id", chosen.schema["doc_id"].dataType), *long, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     arrow = to_arrow_schema(schema)
