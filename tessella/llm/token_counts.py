@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import ids, in_batches, pick, texts, written
+from .frequent import heaviest
 from .pretokens import PreTokenizer
 
 #: Distinct pre-tokens that a task holds before it hands its partial sums on.
@@ -58,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """``doc_id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens) for each row of ``docs``."""
     docs = pick(docs, id_col, text_col)
     vocab = vocabulary(docs, tokenizer_path)
-    head = vocab.orderBy(F.desc("freq"), "token").select("token", "n_pieces").limit(head_size).toArrow()
+    head = heaviest(vocab, "freq", head_size).select("token", "n_pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)))
     pair = T.StructType([T.StructField("token", T.StringType()), T.StructField("f", T.LongType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("head", T.LongType()), T.StructField("tail", T.ArrayType(pair))])
