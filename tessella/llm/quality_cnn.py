@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ids, in_batches, pick
+from .common import bounded_batches, ids, in_batches, pick
 
 #: Shape of the network: bytes a filter sees, bytes between filter places, places in a chunk, between chunk starts and in the parts that chunks share.
 WIDTH, STRIDE, CHUNK, HOP, PART = 8, 2, 256, 224, 32
@@ -136,7 +136,8 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
             filled.append(min(1.0, (len(texts[d]) - c * PART * STRIDE) / size))
     pooled = np.maximum.reduceat(parts, np.array(edges), axis=0)[::2]
     short = np.array(filled) < 1
-    pooled[short] = np.maximum(pooled[short], parts[starts[1] - 1])  # the rest of the chunk is padding, as in training
+    padding = _windows(pairs, np.zeros(WIDTH, np.uint8)) @ net.filters
+    pooled[short] = np.maximum(pooled[short], padding)  # the rest of the chunk, as in training
     pooled = np.maximum(pooled + net.shift, 0)
     logit = pooled.astype(float) @ net.out.astype(float) + _fill(np.array(filled)).astype(float) @ net.fill.astype(float) + net.bias
     mean = np.bincount(owner, logit, len(texts)) / np.bincount(owner, minlength=len(texts))
@@ -154,7 +155,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable, id_col: str, tex
     return [r["text"].encode() for r in found], [r["label"] for r in found]
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1200, doc_chars: int = 6000, **how) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, doc_chars: int = 6000, **how) -> Network:
     """Train on a bounded sample of ``labels`` joined to ``docs``; ``usable`` is a condition on rows of ``labels``."""
     return train(*labelled_sample(docs, labels, usable, id_col, text_col, label_col, per_class, doc_chars), **how)
 
@@ -189,7 +190,7 @@ def scored(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], mos
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs``, with all its columns, without the rows that score below ``threshold``."""
-    known = docs.sparkSession.sparkContext.broadcast(net)
+    known = bounded_batches(docs).sparkSession.sparkContext.broadcast(net)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
