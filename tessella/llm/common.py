@@ -56,7 +56,7 @@ def drop_written(df: DataFrame) -> None:
 def bounded_batches(df: DataFrame, most: int = 1000) -> DataFrame:
     """``df``; from now on the session hands Python at most ``most`` rows at once, so that long texts don't fill workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > most:
+    if not 0 < int(df.sparkSession.conf.get(key)) <= most:
         df.sparkSession.conf.set(key, str(most))
     return df
 
