@@ -10,12 +10,13 @@ size ranges, and dual traversal drops every node pair whose largest possible ove
 small. Candidates are then checked on their whole sets.
 
 Large groups of near copies would make every pair of them a candidate. So the trees are searched
-twice: first each document brings only its most similar candidate of each prefix group, and in
-large groups only those of its own block of ``cell`` members and of the first block, so
+in rounds: at first each document brings only its most similar candidate of each prefix group,
+and in large groups only those of its own block of ``cell`` members and of the first block, so
 candidates grow with the input and not with a group's square. What is linked is one component,
-and the trees drop node pairs inside one. The second search takes every candidate that is left,
-between all pairs of blocks, so no link is lost: a pair skipped is already connected. Groups in
-which the first search found no candidate are done with.
+and the trees drop node pairs inside one. When such a round finds no link, or after
+``best_rounds``, the last round takes every candidate that is left, between all pairs of blocks, so no link is lost:
+a pair skipped is already connected. Groups in which the first search found no candidate are
+done with.
 
 Texts are read once for sizes and bitmaps, once for prefixes, and once for each check, where
 only the sets of candidate documents (told by a Bloom filter of fixed size) are shuffled.
@@ -44,8 +45,8 @@ from .line_dedup import Bits
 from .shingles import SIG_BITS, bitmap, set_key, shingle_sets
 from .signature_tree import SignatureTree, alike, best_partners, close_pairs
 
-#: Shingle occurrences that a task counts together, and how often one must be there to be a frequent one.
-_COUNTED, _OFTEN = 1_000_000, 6
+#: Shingle occurrences that a task counts together; a shingle is frequent there if it is in two of the documents, and in one of so many.
+_COUNTED, _OFTEN = 1_000_000, 300
 #: Frequent shingles that are broadcast (16 bytes each). More or fewer change costs only.
 _MOST_FREQUENT = 200_000
 #: A prefix has one more shingle, and similar sets one more in common there, for so many shingles of a set.
@@ -77,7 +78,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 tokens = np.sort(np.concatenate(held))
                 starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
                 counts = np.diff(np.append(starts, len(tokens)))
-                many = counts >= _OFTEN
+                many = counts >= max(2, len(held) // _OFTEN)
                 yield from ((None,) * 5 + x for x in zip(tokens[starts[many]].view(np.int64).tolist(), counts[many].tolist(), strict=True))
             held.clear()
 
@@ -203,14 +204,14 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
     return links
 
 
-def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, best: bool) -> DataFrame:
+def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, best: bool, mixed: bool) -> DataFrame:
     """``token, a, b, need``: candidate pairs that the signature trees of prefix groups with two labels or more leave; written once.
 
-    ``members``: ``token, nid, label, size``. ``best``: of each document its most similar candidate alone (see above), if
+    ``members``: ``token, nid, label, size``; ``mixed``: some labels may be equal. ``best``: of each document its most similar candidate alone (see above), if
     their bitmaps share more than chance; a cell whose candidates are all left out has a row without a pair (a = -1).
     """
     groups = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    own = (members if best else members.join(groups, "token", "left_semi")).withColumn("k", F.ceil(F.col("size") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
+    own = (members.join(groups, "token", "left_semi") if mixed else members).withColumn("k", F.ceil(F.col("size") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
     blocks = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.lit(0), "block")) if best else F.sequence(F.lit(0), F.col("k") - 1)
     cells = own.select("token", "nid", "label", "block", F.explode(blocks).alias("other")).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "label")
     cells = cells.join(nodes.select("nid", "n", "sig"), "nid").select("token", "i", "j", "block", "nid", "label", "n", "sig")
@@ -274,7 +275,7 @@ def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, bes
     return written(dealt.mapInArrow(search, "token long, a long, b long, need long"), "tree-pairs")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cell: int = 1024) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cell: int = 1024, best_rounds: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: classes of ``100 * intersection >= percent * union``, transitively."""
     docs = pick(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -300,20 +301,29 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_written(prefixes)
     free_shuffles(spark)
 
-    found = _searched(members.withColumn("label", F.col("nid")), nodes, percent, cell, True)
-    # only groups with a candidate, or too large to have been searched whole, can have one later
-    live = found.select("token").union(members.filter(F.col("size") > cell).select("token")).distinct()
-    members = written(members.join(live, "token", "left_semi"), "live-members")
-    first = _similar(docs, written(found.filter("a >= 0").select("a", "b").distinct(), "pairs"), nodes, words, percent)
-    labels = components(first)
-
-    labelled = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("token", "nid", "size", F.coalesce("label", "nid").alias("label"))
-    found = _searched(labelled, nodes, percent, cell, False)
-    # a pair that may be similar comes from the group of every shingle that its prefixes share
-    met = found.groupBy("a", "b", "need").agg(F.count("*").alias("met")).filter("met >= need")
-    second = _similar(docs, written(met.select("a", "b"), "pairs"), nodes, words, percent)
-    if second.limit(1).count():
-        labels = components(first.union(second))
+    links = labels = None
+    for best in (*[True] * best_rounds, False):
+        if labels is None:
+            labelled = members.withColumn("label", F.col("nid"))
+        elif best and not new.limit(1).count():
+            continue
+        else:
+            labelled = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("token", "nid", "size", F.coalesce("label", "nid").alias("label"))
+        found = _searched(labelled, nodes, percent, cell, best, labels is not None)
+        if labels is None:
+            # only groups with a candidate, or too large to have been searched whole, can have one later
+            live = found.select("token").union(members.filter(F.col("size") > cell).select("token")).distinct()
+            members = written(members.join(live, "token", "left_semi"), "live-members")
+        if best:
+            pairs = found.filter("a >= 0").select("a", "b").distinct()
+        else:
+            # a pair that may be similar comes from the group of every shingle that its prefixes share
+            pairs = found.groupBy("a", "b", "need").agg(F.count("*").alias("met")).filter("met >= need").select("a", "b")
+        new = _similar(docs, written(pairs, "pairs"), nodes, words, percent)
+        drop_written(found)
+        links = new if links is None else links.union(new)
+        if labels is None or new.limit(1).count():
+            labels = components(links)
 
     named = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("key", "least", F.coalesce("label", "nid").alias("label"))
     ids_of = named.groupBy("label").agg(F.min("least").alias("component_id"))

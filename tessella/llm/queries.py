@@ -43,7 +43,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return similar_classes(table(spark, sf_dir, "documents"), words=4, percent=85, best_rounds=1)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
