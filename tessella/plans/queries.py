@@ -299,7 +299,7 @@ def snippets(spark, sf_dir):
 
 
 def search_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", txt.search_text("source", "lang", F.substring("text", 1, 200)).alias("search_text"))
+    return table(spark, sf_dir, "documents").select("doc_id", txt.search_text("source", "lang", "text").alias("search_text"))
 
 
 def think_split(spark, sf_dir):
