@@ -25,3 +25,11 @@ def test_search_texts_hold_every_token(run):
     docs = [(1, "word " * 60 + "Last 4.5", "en", "src1"), (2, "short one", "de", "src2"), (3, "", "fr", "src3"), (4, "x" * 500 + " tail", "en", "src4")]
     got = {r["doc_id"]: r["search_text"] for r in run("search_texts", documents=(docs, "doc_id long, text string, lang string, source string"))}
     assert got == {i: " ".join(TOKEN.findall("\n".join(v for v in (source, lang, text) if v).lower())) for i, text, lang, source in docs}
+
+
+def test_neighbor_expand_reaches_every_conversation(run):
+    turns = {conv: range(conv % 4 + 1) for conv in range(12)}
+    rows = [(conv, turn, "user", "hi") for conv, places in turns.items() for turn in places]
+    got = run("neighbor_expand", conversations=(rows, "conv_id long, turn int, role string, text string"))
+    want = {(conv % 5, conv * 1000 + turn) for conv, places in turns.items() if 1 in places for turn in (0, 2) if turn in places}
+    assert len(got) == len(want) and {(r["query_id"], r["chunk_id"]) for r in got} == want and {r["score"] for r in got} == {0.95}
