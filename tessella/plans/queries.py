@@ -27,7 +27,7 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def tok_ascii_tf(spark, sf_dir):
-    return rank.postings(documents(spark, sf_dir), ["text"]).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs")).filter("docs >= 5")
+    return rank.postings(documents(spark, sf_dir), ["text"]).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs"))
 
 
 def tok_cjk_inline(spark, sf_dir):
@@ -38,7 +38,7 @@ def tok_cjk_inline(spark, sf_dir):
 
 
 def doc_freq(spark, sf_dir):
-    return rank.document_frequency(rank.postings(documents(spark, sf_dir), ["text", "source"])).filter("df >= 10")
+    return rank.document_frequency(rank.postings(documents(spark, sf_dir), ["text", "source"]))
 
 
 def avg_field_len(spark, sf_dir):

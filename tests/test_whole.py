@@ -1,6 +1,7 @@
 """Registered queries against brute force, where their SQL makes a cut or there is none."""
 
 import re
+from collections import Counter
 
 import pytest
 
@@ -33,3 +34,14 @@ def test_neighbor_expand_reaches_every_conversation(run):
     got = run("neighbor_expand", conversations=(rows, "conv_id long, turn int, role string, text string"))
     want = {(conv % 5, conv * 1000 + turn) for conv, places in turns.items() if 1 in places for turn in (0, 2) if turn in places}
     assert len(got) == len(want) and {(r["query_id"], r["chunk_id"]) for r in got} == want and {r["score"] for r in got} == {0.95}
+
+
+@pytest.mark.parametrize("query", ["tok_ascii_tf", "doc_freq"])
+def test_rare_tokens_are_counted(run, query):
+    docs = [(i, "common word" + " twice twice" * (i < 6) + f" only{i}", f"src{i % 2}") for i in range(12)]
+    fields = {i: [text, source] if query == "doc_freq" else [text] for i, text, source in docs}
+    tokens = [(i, t) for i, texts in fields.items() for text in texts for t in TOKEN.findall(text.lower())]
+    docs_of = Counter(t for _, t in set(tokens))
+    want = docs_of if query == "doc_freq" else {t: (n, docs_of[t]) for t, n in Counter(t for _, t in tokens).items()}
+    rows = run(query, documents=(docs, "doc_id long, text string, source string"))
+    assert len(rows) == len(want) and {r["token"]: r["df"] if query == "doc_freq" else (r["tf"], r["docs"]) for r in rows} == want
