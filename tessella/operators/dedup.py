@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import source_key
 from ..functions.text import normal_for_hash, stable_hash
+from ..sources.stored import scratch
 
 
 def content_hash(c, n: int = 40, compatible: bool = True) -> Column:
@@ -47,12 +48,13 @@ def cap_per(rows: DataFrame, groups: Sequence[str], most: int, order: Sequence[C
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
-def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrases: str | None = None) -> DataFrame:
+def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrases: str | None = None, pool: int | None = None) -> DataFrame:
     """Per query the first ``top_k`` hits, by score, that repeat no text, place or title and keep to a cap per source and per title.
 
     ``hits``: ``query_id, chunk_id, chunk_index, score, title, url, path, text`` (arrays ``codes`` and ``phrases`` of the
     query lift the cap of titles that name them). Caps depend on what was taken before, so a query's candidates, a few
-    hundred, are one group; only keys are sent, not texts.
+    hundred, are one group; only keys are sent, not texts. For more candidates, ``pool`` is how many are one group at once:
+    what the hits taken so far rule out is dropped and the next best follow, until ``top_k`` are taken or none is left.
     """
     solid = F.regexp_replace("text", r"(?U)\s+", "")
     low = F.lower(F.coalesce("title", F.lit("")))
@@ -70,9 +72,10 @@ def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrase
         F.when(named | many, 2).otherwise(1).alias("title_limit"),
     )
     per_source = 2 if top_k >= 6 else 1
+    columns = keys.columns
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "chunk_id"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["rank", "score", "chunk_id"], ascending=[True, False, True], kind="stable", na_position="last")
         seen: set = set()
         counts: dict = {}
         out = []
@@ -85,11 +88,39 @@ def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrase
             counts[source] = counts.get(source, 0) + 1
             if r.title_key:
                 counts[title] = counts.get(title, 0) + 1
-            out.append((r.query_id, r.chunk_id, len(out) + 1))
+            out.append((*[getattr(r, c) for c in columns], len(out) + 1))
             if len(out) >= top_k:
                 break
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "rank"])
+        return pd.DataFrame(out, columns=[*columns, "rank"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", rank int"
+    unranked = lambda rows: rows.withColumn("rank", F.lit(None).cast("int"))
+    if pool is None:
+        taken = unranked(keys).groupBy("query_id").applyInPandas(pick, schema)
+    else:
+        keys = scratch(keys, "diverse-keys")
+        taken = scratch(unranked(_best(keys, pool)).groupBy("query_id").applyInPandas(pick, schema), "diverse-taken")
+        # the best hit that is open is always taken, so each round but the last adds one to every query that isn't done
+        for _ in range(top_k - 1):
+            left = scratch(_best(_open_hits(keys, taken, top_k, per_source), pool), "diverse-left")
+            if not left.limit(1).count():
+                break
+            taken = scratch(taken.unionByName(unranked(left)).groupBy("query_id").applyInPandas(pick, schema), "diverse-taken")
+    return hits.join(taken.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"])
+
+
+def _best(keys: DataFrame, most: int) -> DataFrame:
+    return cap_per(keys, ["query_id"], most, [F.desc("score"), F.col("chunk_id")])
+
 
-    kind = {f.name: f.dataType.simpleString() for f in hits.schema}
-    taken = keys.groupBy("query_id").applyInPandas(pick, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, rank int")
-    return hits.join(taken, ["query_id", "chunk_id"])
+def _open_hits(keys: DataFrame, taken: DataFrame, top_k: int, per_source: int) -> DataFrame:
+    """The hits that ``taken`` doesn't rule out, of the queries with fewer than ``top_k``."""
+    marks = ["text_key", "place_key", "title_text_key"]
+    sets = taken.groupBy("query_id").agg(F.count("*").alias("n"), *[F.collect_list(F.struct(F.col(c))).alias(f"_{c}") for c in (*marks, "source_key", "title_key")]).filter(F.col("n") < top_k)
+    # one row a query, of fewer than top_k keys each
+    both = keys.join(sets, "query_id")
+    times = lambda c: F.size(F.filter(F.col(f"_{c}"), lambda x: x[c].eqNullSafe(F.col(c))))
+    free = (times("source_key") < per_source) & ((F.col("title_key") == "") | (times("title_key") < F.col("title_limit")))
+    for c in marks:
+        free = free & (times(c) == 0)
+    return both.filter(free).select(keys.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chunk, extract, quality
 from ..functions import text as txt
 from ..operators import assist, clean, dedup, evaluate, graph, hop, rank, routes
+from ..sources.stored import scratch
 from ..streaming import events as ev
 
 
@@ -143,9 +144,10 @@ def per_source_cap(spark, sf_dir):
 
 def greedy_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    scored = rank.bm25f(docs, asked(spark), {"text": 1.0}, {"text": 0.75})
-    hits = rank.top_k(scored.withColumn("score", F.round("score", 6)), 60).drop("rank").join(docs.select("chunk_id", F.lit(0).alias("chunk_index"), F.substring("text", 1, 20).alias("title"), F.lit("").alias("url"), F.concat(F.lit("docs/"), "source").alias("path"), "text"), "chunk_id")
-    return dedup.greedy_diverse(hits, 8).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    # read for the keys and for the hits taken
+    scored = scratch(rank.bm25f(docs, asked(spark), {"text": 1.0}, {"text": 0.75}).withColumn("score", F.round("score", 6)), "scored")
+    hits = scored.join(docs.select("chunk_id", F.lit(0).alias("chunk_index"), F.substring("text", 1, 20).alias("title"), F.lit("").alias("url"), F.concat(F.lit("docs/"), "source").alias("path"), "text"), "chunk_id")
+    return dedup.greedy_diverse(hits, 8, pool=60).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def lcg_sample(spark, sf_dir):

@@ -1,11 +1,13 @@
 """Registered queries against brute force, where their SQL makes a cut or there is none."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 
 import __spark_entry__
+from tessella.operators import dedup
 
 TOKEN = re.compile(r"[a-zA-Z][a-zA-Z0-9_+#.-]*|\d+(?:\.\d+)?")
 
@@ -45,3 +47,20 @@ def test_rare_tokens_are_counted(run, query):
     want = docs_of if query == "doc_freq" else {t: (n, docs_of[t]) for t, n in Counter(t for _, t in tokens).items()}
     rows = run(query, documents=(docs, "doc_id long, text string, source string"))
     assert len(rows) == len(want) and {r["token"]: r["df"] if query == "doc_freq" else (r["tf"], r["docs"]) for r in rows} == want
+
+
+def test_greedy_dedup_goes_on_behind_many_copies(run):
+    copies = [(i, "the nation of the", "en", "src0") for i in range(80)]
+    others = [(100 + i, "the nation of the " + f"filler{i} " * (3 + i), "en", f"src{1 + i // 3}") for i in range(30)]
+    rows = run("greedy_dedup", documents=(copies + others, "doc_id long, text string, lang string, source string"))
+    first = [r["chunk_id"] for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 1]
+    assert first == [0, 100]  # the rest share a title
+
+
+def test_rounds_of_a_pool_choose_what_one_group_does(spark):
+    rng = random.Random(3)
+    data = [(q, i, i % 2, float(rng.randrange(40)), f"{rng.choice(['', 'a program', 'b', None])}{rng.choice(['', i])}", rng.choice([f"http://h/{i // 4}", "", None]), f"p{i % 9}", rng.choice([f"text {i % 11}", None])) for q in (1, 2, 3) for i in range(60)]
+    hits = spark.createDataFrame(data, "query_id long, chunk_id long, chunk_index int, score double, title string, url string, path string, text string")
+    for k in (3, 8):
+        want = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dedup.greedy_diverse(hits, k).collect())
+        assert want and sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dedup.greedy_diverse(hits, k, pool=2).collect()) == want
