@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -335,15 +335,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, with all its columns, without all but the least id of each class of similar documents.
 
-    Rows that repeat an id are one document, of which the row with the least text stays; rows without an id stay.
+    Rows that repeat an id are documents of their own: one row of each class stays, also where another row of its id does.
+    Rows without an id stay.
     """
+    columns, named = docs.columns, docs[id_col].isNotNull()
+    if docs.filter(named).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        # written, so that a row's number doesn't change
+        rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        classes = similar_classes(rows, "_row", text_col, words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+        order = F.struct(F.col(id_col), F.xxhash64(text_col), F.col("_row"))
+        kept = rows.filter(F.col(id_col).isNotNull()).select("_row", order.alias("_order")).join(classes, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
+        return rows.join(kept.select("_row"), "_row", "left_semi").select(*columns).union(rows.filter(F.col(id_col).isNull()).select(*columns))
     classes = similar_classes(docs, id_col, text_col, words, percent)
     kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    columns = docs.columns
-    named = docs.filter(docs[id_col].isNotNull())
-    stay = named.join(kept, named[id_col] == F.col("kept_id"), "left_semi")
-    repeated = docs.filter(docs[id_col].isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if repeated:
-        first = Window.partitionBy(id_col).orderBy(text_col)
-        stay = stay.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*columns)
+    stay = docs.filter(named).join(kept, docs[id_col] == F.col("kept_id"), "left_semi")
     return stay.union(docs.filter(docs[id_col].isNull()))
