@@ -33,7 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bounded_batches, ids, in_batches, pick
 
-_TOKEN = re.compile(r"[^\W_]+")
+#: Letters of scripts without spaces, each a token: CJK ideographs and kana.
+_SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[^\W_{_SINGLE}]+|(?![\W_])[{_SINGLE}]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
