@@ -43,7 +43,7 @@ from .components import components
 from .frequent import heaviest
 from .line_dedup import Bits
 from .shingles import SIG_BITS, bitmap, set_key, shingle_sets
-from .signature_tree import SignatureTree, alike, best_partners, close_pairs
+from .signature_tree import BestPartners, SignatureTree, alike, close_pairs
 
 #: Shingle occurrences that a task counts together; a shingle is frequent there if it is in two of the documents, and in one of so many.
 _COUNTED, _OFTEN = 1_000_000, 300
@@ -218,26 +218,36 @@ def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, bes
     arrow = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: pa.Table, sizes: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, overlap: np.ndarray) -> Iterator[pa.RecordBatch]:
-            block, nid, token = (rows.column(c).to_numpy() for c in ("block", "nid", "token"))
-            keep = (rows.column("i").to_numpy()[a] == rows.column("j").to_numpy()[a]) | (block[a] != block[b])  # a cell of two blocks is for the pairs across them
-            a, b, overlap = a[keep], b[keep], overlap[keep]
-            if best and len(a):
-                cells = np.unique(token[a])
+        def out(rows: pa.Table, sizes: np.ndarray, sig: np.ndarray, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            """Candidates of complete cells, from pieces of their pairs; no more than a piece is held."""
+            nid, token = rows.column("nid").to_numpy(), rows.column("token").to_numpy()
+            need = _common(sizes)
+
+            def pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+                if len(a):
+                    columns = (token[a], np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b]), np.minimum(need[a], need[b]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
+
+            if not best:
+                for a, b, _ in found:
+                    yield from pairs(a, b)
+                return
+            partners, met = BestPartners(sizes), np.zeros(len(rows), bool)
+            for a, b, overlap in found:
+                met[a] = True
                 keep = alike(sig, a, b)
-                a, b, overlap = a[keep], b[keep], overlap[keep]
-                keep = best_partners(a, b, overlap, sizes)
-                a, b = a[keep], b[keep]
+                partners.add(a[keep], b[keep], overlap[keep])
+            cells = np.unique(token[met])
+            if len(cells):
                 none = np.full(len(cells), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cells, none, none, none)], schema=arrow)
-            if len(a):
-                need = _common(sizes)
-                columns = (token[a], np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b]), np.minimum(need[a], need[b]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
+                yield from pairs(*partners.pairs())
 
-        def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, SIG_BITS // 8)
-            return rows.column("n").to_numpy(), sig, rows.column("label").to_numpy()
+            # a cell of two blocks is for the pairs across them, one of a block with itself for all
+            block, crossed = rows.column("block").to_numpy(), rows.column("i").to_numpy() != rows.column("j").to_numpy()
+            return rows.column("n").to_numpy(), sig, rows.column("label").to_numpy(), np.where(crossed, block, -1 - np.arange(len(rows)))
 
         def whole(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Pairs of complete cells: small ones, trees of one leaf, all together, each other by its tree."""
@@ -247,16 +257,12 @@ def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, bes
                 cells = np.repeat(np.arange(len(sizes)), sizes)
                 at = np.flatnonzero(small[cells])
                 part = rows.take(pa.array(at))
-                n, sig, label = arrays(part)
-                yield from out(part, n, sig, *close_pairs(n, sig, label, cells[at], percent))
+                n, sig, label, side = arrays(part)
+                yield from out(part, n, sig, iter([close_pairs(n, sig, label, cells[at], percent, side)]))
             for k in np.flatnonzero(sizes > _LEAF):
                 part = rows.slice(int(edges[k]), int(sizes[k]))
-                n, sig, label = arrays(part)
-                found = list(SignatureTree(n, sig, label).pairs(percent)) if best else SignatureTree(n, sig, label).pairs(percent)
-                if best:
-                    found = [tuple(np.concatenate(x) for x in zip(*found, strict=True))] if found else []
-                for pairs in found:
-                    yield from out(part, n, sig, *pairs)
+                n, sig, label, side = arrays(part)
+                yield from out(part, n, sig, SignatureTree(n, sig, label, side).pairs(percent))
 
         rest: pa.Table | None = None
         for batch in batches:
