@@ -5,10 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to one Arrow batch that an operator returns.
@@ -16,12 +16,14 @@ OUT_ROWS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all tasks run in this process."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(place)
     return place.rstrip("/")
@@ -94,6 +96,32 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def fresh(columns: Sequence[str], base: str) -> str:
+    """A name that none of ``columns`` has in any case of its letters."""
+    taken, name = {c.lower() for c in columns}, base
+    while name in taken:
+        name += "_"
+    return name
+
+
+def unit_hash(*columns) -> Column:
+    """A number from 0 to 1 that a hash of the columns gives: rows below a share are a sample that does not depend on partitions."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+def share_for(most: int, count: int) -> float:
+    """The share of ``count`` rows that a hash takes so that ``most`` of them are there almost surely, and few more."""
+    return min(1.0, (most + 6 * most**0.5 + 10) / max(1, count))
+
+
+def spread(text, seed, chars: int, pieces: int = 4) -> Column:
+    """At most ``chars`` characters of a text: whole if it is short, else pieces at a place that a hash of ``seed`` gives in each of its equal stretches."""
+    text = F.col(text) if isinstance(text, str) else text
+    each, stretch = chars // pieces - 1, F.floor(F.length(text) / pieces).cast("int")
+    parts = [F.substring(text, stretch * k + 1 + F.pmod(F.xxhash64(seed, F.lit(k)), F.greatest(stretch - each, F.lit(1))).cast("int"), F.lit(each)) for k in range(pieces)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n (a fixed split of rows)."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(n)
