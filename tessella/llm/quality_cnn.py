@@ -19,12 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, ids, in_batches, pick
+from .common import bounded_batches, ids, in_batches, pick, share_for, spread, unit_hash
 
 #: Shape of the network: bytes a filter sees, bytes between filter places, places in a chunk, between chunk starts and in the parts that chunks share.
 WIDTH, STRIDE, CHUNK, HOP, PART = 8, 2, 256, 224, 32
@@ -145,13 +145,33 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, id_col: str, text_col: str, label_col: str, per_class: int, doc_chars: int) -> tuple[list[bytes], list[int]]:
-    """At most ``per_class`` documents of either label, chosen by a hash of the id, at most ``doc_chars`` characters of each."""
-    rows = labels.filter(usable & labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("k_id")).agg(F.min(label_col).cast("int").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.col("k_id").cast("string")), "k_id"))
-    chosen = rows.withColumn("k", rank).filter(F.col("k") <= per_class).select("k_id", "label")
+    """At most ``per_class`` documents of either label, chosen by a hash of the id, at most ``doc_chars`` characters of each, from all parts of it.
+
+    Counts of the labels give a share of the hashes for each, so that about as many rows as are wanted leave the scan;
+    none of the label's other rows is sorted or brought together.
+    """
+    rows = labels.filter(usable & labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(F.col(id_col).alias("k_id"), F.col(label_col).cast("int").alias("label"))
+    rows = rows.withColumn("u", unit_hash(F.col("k_id").cast("string")))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = {k: share_for(per_class, n) for k, n in counts.items()}
+    while True:
+        share = F.lit(0.0)
+        for k, x in shares.items():
+            share = F.when(F.col("label") == k, F.lit(x)).otherwise(share)
+        one = rows.filter(F.col("u") < max(shares.values(), default=0.0)).groupBy("k_id", "u").agg(F.min("label").alias("label"))
+        near: dict[int, list] = {k: [] for k in counts}
+        for r in one.filter(F.col("u") < share).collect():
+            near[r["label"]].append((r["u"], str(r["k_id"]), r["k_id"]))
+        few = [k for k, found in near.items() if len(found) < per_class and shares[k] < 1]
+        if not few:
+            break
+        for k in few:  # ids that are there more than once, or under a lower label
+            shares[k] = min(1.0, 4 * shares[k])
+    chosen = [(k_id, k) for k, found in near.items() for _, _, k_id in sorted(found, key=lambda x: x[:2])[:per_class]]
+    kept = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k_id", labels.schema[id_col].dataType), T.StructField("label", T.IntegerType())]))
     # at most 2 * per_class rows, so the broadcast is bounded
-    got = pick(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("k_id")).filter(F.col("text").isNotNull())
-    found = got.select("doc_id", "label", F.substring("text", 1, doc_chars).alias("text")).orderBy("doc_id", "text").limit(4 * per_class).collect()
+    got = pick(docs, id_col, text_col).join(F.broadcast(kept), F.col("doc_id") == F.col("k_id")).filter(F.col("text").isNotNull())
+    found = got.select("doc_id", "label", spread("text", F.col("doc_id").cast("string"), doc_chars).alias("text")).orderBy("doc_id", "text").limit(4 * per_class).collect()
     return [r["text"].encode() for r in found], [r["label"] for r in found]
 
 
@@ -188,16 +208,15 @@ def scored(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], mos
         yield from zip(held, scores(net, texts).tolist(), strict=True)
 
 
-def keep_good(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs``, with all its columns, without the rows that score below ``threshold``."""
+def keep_good(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.3, most: int = 1_000_000) -> DataFrame:
+    """``docs``, with all its columns, without the rows that score below ``threshold``; texts are scored about ``most`` bytes at a time."""
     known = bounded_batches(docs).sparkSession.sparkContext.broadcast(net)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                good = scores(known.value, [(t.as_py() or "").encode() for t in part.column(place)]) >= threshold
-                yield part.filter(pa.array(good))
+            text = pa.RecordBatch.from_arrays([pa.array(range(len(batch))), batch.column(place)], names=["row", "text"])
+            good = [s >= threshold for _, s in scored(iter([text]), known.value, ["row"], most)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
