@@ -8,11 +8,14 @@ document is contaminated if tiles cover ``coverage`` or more of the item's token
 
 Seeds of the benchmark are joined inside the scan of the documents: they are broadcast in
 blocks of at most about ``block_chars`` characters of items, one scan a block, so any number of
-items can be tested. Documents are never shuffled. A pair whose seeds could not reach the
+items can be tested; where there are several blocks, each one's findings are written before the
+next is broadcast, so that one block at a time is held. Documents are not shuffled, but for
+the last step of ``decontaminate`` with several blocks and very many contaminated texts. A pair whose seeds could not reach the
 coverage, were all of them tiles, is dropped before tiling; that bound is exact.
 
 Defined cases: null and empty texts match nothing; items of fewer than ``min_match`` tokens
-identify nothing and are ignored; texts and items of any length are compared whole; repeated
+identify nothing and are ignored, but those of ``min_item`` tokens or more match where all of
+their tokens follow each other; texts and items of any length are compared whole; repeated
 rows are reported each, equal items each under their own id; empty tables give an empty result;
 other columns are ignored.
 """
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, ids, in_batches, pick
+from .common import bounded_batches, fresh, ids, in_batches, pick, written
 
 #: Letters of scripts without spaces, each a token: CJK ideographs and kana.
 _SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[^\W_{_SINGLE}]+|(?![\W_])[{_SINGLE}]")
+#: Digests of contaminated texts that may be broadcast.
+_MOST_DIGESTS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -118,62 +123,71 @@ def _still(free_item: np.ndarray, free_doc: np.ndarray, p: int, d: int, n: int,
 
 
 class Seeds:
-    """The items of a block: their codes, and by seed hash the items and places that have it."""
+    """The items of a block: their codes, and by seed length and seed hash the items and places that have it."""
 
-    def __init__(self, items: list[tuple], min_match: int):
+    def __init__(self, items: list[tuple], min_match: int, min_item: int | None = None):
         self.code: dict[str, int] = {}
-        self.keys, self.codes, of = [], [], defaultdict(list)
+        self.keys, self.codes, of = [], [], defaultdict(lambda: defaultdict(list))
         for key, text in items:
             words = tokens(text)
-            if len(words) < min_match:
+            if len(words) < max(1, min(min_match, min_item or min_match)):
                 continue
             row = np.array([self.code.setdefault(w, len(self.code)) for w in words], np.int64)
-            for place, h in enumerate(_rolling(row, min_match).tolist()):
-                of[h].append((len(self.keys), place))
+            seed = min(min_match, len(row))
+            for place, h in enumerate(_rolling(row, seed).tolist()):
+                of[seed][h].append((len(self.keys), place))
             self.keys.append(key)
             self.codes.append(row)
-        self.of = dict(of)
-        self.hashes = np.sort(np.fromiter(of, np.uint64, len(of)))
+        self.of = {n: dict(x) for n, x in of.items()}
+        self.hashes = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in of.items()}
 
     def matches(self, text: str | None, min_match: int, coverage: float) -> Iterator[tuple]:
         """``(item key, item tokens, matched tokens)`` for each item that the text covers enough."""
         words = tokens(text)
         doc = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
-        runs = _open(doc >= 0, min_match)
-        if not len(runs) or not len(self.hashes):
-            return
-        h = _rolling(doc, min_match)[runs]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        shared = np.unique(h[self.hashes[at] == h])
         reach: dict[int, set[int]] = defaultdict(set)
-        for x in shared.tolist():
-            for k, place in self.of[x]:
-                reach[k].update(range(place, place + min_match))
+        for seed, hashes in self.hashes.items():
+            runs = _open(doc >= 0, seed)
+            if not len(runs):
+                continue
+            h = _rolling(doc, seed)[runs]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            for x in np.unique(h[hashes[at] == h]).tolist():
+                for k, place in self.of[seed][x]:
+                    reach[k].update(range(place, place + seed))
         for k in sorted(reach):
             size = len(self.codes[k])
             if len(reach[k]) >= coverage * size:
-                matched = sum(n for _, _, n in tiles(self.codes[k], doc, min_match))
+                matched = sum(n for _, _, n in tiles(self.codes[k], doc, min(min_match, size)))
                 if matched >= coverage * size:
                     yield self.keys[k], size, matched
 
 
-def _seed_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_chars: int) -> Iterator:
-    """The benchmark's seeds, broadcast block by block."""
+def _seed_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, min_item: int | None, block_chars: int) -> tuple[int, Iterator]:
+    """How many blocks the benchmark has, and their seeds, each broadcast when it is asked for and freed before the next."""
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].cast("string").alias("item")).filter(F.col("item").isNotNull())
     chars = items.agg(F.sum(F.length("item") + 16)).first()[0] or 0
     count = max(1, -(-chars // block_chars))
-    for k in range(count):
-        block = items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k).orderBy("item_id", "item").toArrow()
-        yield docs.sparkSession.sparkContext.broadcast(Seeds(list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), min_match))
+
+    def blocks() -> Iterator:
+        for k in range(count):
+            block = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(count)) == k).orderBy("item_id", "item").toArrow()
+            seeds = docs.sparkSession.sparkContext.broadcast(Seeds(list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), min_match, min_item))
+            yield seeds
+            if count > 1:
+                seeds.destroy()
+
+    return count, blocks()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, coverage: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, coverage: float = 0.5, block_chars: int = 4_000_000, min_item: int | None = None) -> DataFrame:
     """``doc_id, item_id, item_tokens, matched_tokens, coverage``: a row for each document and item it contains."""
     docs = pick(docs, id_col, text_col)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("item_tokens", T.LongType()), T.StructField("matched_tokens", T.LongType()), T.StructField("coverage", T.DoubleType())])
     arrow = to_arrow_schema(schema)
+    count, blocks = _seed_blocks(docs, benchmark, item_col, item_text_col, min_match, min_item, block_chars)
     out: DataFrame | None = None
-    for seeds in _seed_blocks(docs, benchmark, item_col, item_text_col, min_match, block_chars):
+    for seeds in blocks:
 
         def scan(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
@@ -185,19 +199,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield from in_batches(rows(), arrow)
 
         found = docs.mapInArrow(scan, schema)
+        found = found if count == 1 else written(found, "contamination")
         out = found if out is None else out.union(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, coverage: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
-    """``docs``, with all its columns, without the contaminated rows; one pass of filters, one for each block."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, coverage: float = 0.5, block_chars: int = 4_000_000, min_item: int | None = None) -> DataFrame:
+    """``docs``, with all its columns, without the contaminated rows.
+
+    With several blocks, digests of contaminated texts are what is written; equal texts have one verdict.
+    """
     place = bounded_batches(docs).columns.index(text_col)
-    for seeds in _seed_blocks(docs, benchmark, item_col, item_text_col, min_match, block_chars):
+    count, blocks = _seed_blocks(docs, benchmark, item_col, item_text_col, min_match, min_item, block_chars)
+    digest = F.sha2(docs[text_col].cast("string"), 256)
+    found: DataFrame | None = None
+    for seeds in blocks:
 
-        def scan(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [next(seeds.value.matches(t.as_py(), min_match, coverage), None) is None for t in batch.column(place)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+        def tainted(column: pa.Array, seeds=seeds) -> list[bool]:
+            return [next(seeds.value.matches(t.as_py(), min_match, coverage), None) is not None for t in column]
 
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+        if count == 1:
+            return docs.mapInArrow(lambda batches: (b.filter(pa.array([not x for x in tainted(b.column(place))], pa.bool_())) for b in batches), docs.schema)
+
+        def scan(batches: Iterator[pa.RecordBatch], tainted=tainted) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select([0]).filter(pa.array(tainted(batch.column(1)), pa.bool_()))
+
+        texts = docs.select(digest.alias("digest"), docs[text_col].cast("string").alias("text")).filter(F.col("text").isNotNull())
+        some = written(texts.mapInArrow(scan, "digest string").distinct(), "contaminated")
+        found = some if found is None else found.union(some)
+    known = fresh(docs.columns, "digest")
+    found = found.select(F.col("digest").alias(known))
+    few = found.count() <= _MOST_DIGESTS
+    return docs.join(F.broadcast(found) if few else found, digest == F.col(known), "left_anti")
