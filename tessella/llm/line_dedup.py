@@ -6,9 +6,12 @@ second filter suspects are shuffled, as sums already made in each task, and coun
 Bloom filters have no false negatives and the count is exact, so their size changes costs and
 never results: when a corpus overfills them, more keys are counted.
 
-The filters have a fixed size (``log2_bits``), so what is broadcast and what tasks hold does
-not grow; the tasks that build them are bounded too (``filter_tasks``). The repeated keys are
-broadcast when they are few (checked), and joined by key otherwise.
+The filters have ten bits or more for each line of the table, counted before, but no more than
+``most_log2_bits`` name (32 MB each), so what is broadcast and what tasks hold is bounded; beyond
+that size more keys are suspected. The tasks that build them are bounded too (``filter_tasks``).
+The repeated keys are broadcast when they are few (checked). Otherwise the most frequent of them
+are, and the rest, which no line of many documents is among, is joined by key. A key of more
+than 64 bytes travels as a digest.
 
 Defined cases: a null or empty text is one empty line (its key has no code points, so it
 stays); lines and texts of any length are whole; a row is a document, so repeated rows and
@@ -19,6 +22,7 @@ ignored. With ``keep="first"`` the first occurrence (least id, then line) stays.
 from __future__ import annotations
 
 import hashlib
+from collections import ChainMap
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bounded_batches, ids, in_batches, scratch_path, written
+from .frequent import heaviest
 
 #: Bits of a filter that travel together.
 _SEGMENT = 1 << 19
@@ -45,6 +50,11 @@ def keys_of(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return lines, [x.strip().lower() for x in lines]
 
 
+def _short(key: bytes) -> bytes:
+    """A key, or a digest in its place that begins like no key does."""
+    return key if len(key) <= 64 else b"\xff" + hashlib.blake2b(key, digest_size=32).digest()
+
+
 class Bits:
     """A Bloom filter's bits; ``add`` and ``test`` take arrays of 64-bit hashes."""
 
@@ -118,8 +128,14 @@ def repeat_filter(docs: DataFrame, log2_bits: int, filter_tasks: int) -> np.ndar
     return bits
 
 
+def _bits_for(docs: DataFrame, least: int, most: int) -> int:
+    """log2 of the bits of a filter for all lines of ``docs``."""
+    n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    return min(most, max(least, (10 * n).bit_length()))
+
+
 def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: int, filter_tasks: int) -> DataFrame:
-    """``key, n_docs, first_id, first_line`` of the keys in at least ``min_docs`` rows of ``docs``; written once."""
+    """``key`` (as ``_short`` gives it), ``n_docs, first_id, first_line`` of the keys in at least ``min_docs`` rows of ``docs``; written once."""
     known = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, log2_bits, filter_tasks))
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("first", T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("line", T.IntegerType())]))])
     arrow = to_arrow_schema(schema)
@@ -137,6 +153,7 @@ def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: int
             for (k, doc_id, line), yes in zip(found, hit.tolist(), strict=True):
                 if not yes:
                     continue
+                k = _short(k)
                 old = held.get(k)
                 if old is None:
                     held[k] = [1, doc_id, line]
@@ -176,11 +193,12 @@ def line_dedup(
     min_docs: int = 10,
     min_chars: int = 1,
     keep: str = "none",
-    log2_bits: int = 24,
+    log2_bits: int | None = None,
     filter_tasks: int = 2048,
     most_keys: int = MOST_KEYS,
     most_key_bytes: int = MOST_KEY_BYTES,
     carry: Sequence[str] = (),
+    most_log2_bits: int = 28,
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256, kept_text`` for each row; the columns ``carry`` stay with it, in a struct ``carried``.
 
@@ -191,7 +209,7 @@ def line_dedup(
     whole = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), carried.alias("carried"))
     docs = whole.select("doc_id", "text")
     first = {"none": False, "first": True}[keep]
-    keys = repeated_keys(docs, min_docs, min_chars, log2_bits, filter_tasks)
+    keys = repeated_keys(docs, min_docs, min_chars, log2_bits or _bits_for(docs, 20, most_log2_bits), filter_tasks)
     n, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("key") + 48), F.lit(0))).first()
     long = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")]
     schema = T.StructType([docs.schema["doc_id"], *long, T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
@@ -218,21 +236,23 @@ def line_dedup(
             seen = set()
             drop = []
             for i, k in enumerate(keys):
+                k = _short(k)
                 at = repeats.get(k)
                 # a first occurrence that several rows with one id share stays in each of them
                 drop.append(at is not None and (at != (doc_id, i) or k in seen))
                 seen.add(k)
         else:
-            drop = [k in repeats for k in keys]
+            drop = [_short(k) in repeats for k in keys]
         return kept(doc_id, lines, drop)
 
-    if n <= most_keys and size <= most_key_bytes:
-        got = keys.select("key", "first_id", "first_line").toArrow()
-        known = docs.sparkSession.sparkContext.broadcast({k: (d, i) for k, d, i in zip(*(c.to_pylist() for c in got.columns), strict=True)})
-
+    few = n <= most_keys and size <= most_key_bytes
+    # what is broadcast: all, or as many of the most frequent as the bounds allow (a key has 65 bytes at most)
+    got = (keys if few else heaviest(keys, "n_docs", min(most_keys, most_key_bytes // 113))).select("key", "first_id", "first_line").toArrow()
+    known = docs.sparkSession.sparkContext.broadcast({k: (d, i) for k, d, i in zip(*(c.to_pylist() for c in got.columns), strict=True)})
+    if few:
         return given(whole.mapInArrow(lambda batches: rewritten(batches, lambda part, i: known.value), with_carried))
 
-    # Too many to broadcast: join lines with the repeated keys by digest, and each document with its own few.
+    # Too many to broadcast: join lines with the other repeated keys, and each document with its own few.
     path = scratch_path(docs.sparkSession, "lines-numbered")
     whole.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     numbered = docs.sparkSession.read.parquet(path)
@@ -241,10 +261,10 @@ def line_dedup(
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("row", pa.int64()), ("key", pa.binary())])
         for batch in batches:
-            yield from in_batches(((r, k) for r, t in zip(ids(batch, "row"), batch.column(1), strict=True) for k in {*keys_of(t.as_py())[1]} if k), out)
+            yield from in_batches(((r, k) for r, t in zip(ids(batch, "row"), batch.column(1), strict=True) for k in map(_short, {*keys_of(t.as_py())[1]}) if k and k not in known.value), out)
 
     hits = numbered.select("row", "text").mapInArrow(explode, pair).join(keys, "key").groupBy("row").agg(F.collect_list(F.struct("key", "first_id", "first_line")).alias("hits"))
     joined = numbered.join(hits, "row", "left").select("doc_id", "text", "carried", "hits")
 
-    own = lambda part, i: {h["key"]: (h["first_id"], h["first_line"]) for h in part.column(3)[i].as_py() or ()}
+    own = lambda part, i: ChainMap({h["key"]: (h["first_id"], h["first_line"]) for h in part.column(3)[i].as_py() or ()}, known.value)
     return given(joined.mapInArrow(lambda batches: rewritten(batches, own), with_carried))
