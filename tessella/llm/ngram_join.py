@@ -19,7 +19,7 @@ a pair skipped is already connected. Groups in which the first search found no c
 done with.
 
 Texts are read once for sizes and bitmaps, once for prefixes, and once for each check, where
-only the sets of candidate documents (told by a Bloom filter of fixed size) are shuffled.
+only the sets of candidate documents (told by a Bloom filter of bounded size) are shuffled.
 
 Defined cases: null, empty and wordless texts have no shingles and stand alone; a text of
 fewer words than a shingle is one shingle; texts of any length count whole; repeated rows and
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import drop_written, free_shuffles, ids, in_batches, pick, written
+from .common import drop_written, free_shuffles, fresh, ids, in_batches, pick, written
 from .components import components
 from .frequent import heaviest
 from .line_dedup import Bits
@@ -55,8 +55,10 @@ _SHARE = 64
 _LEAF = 16
 #: Keys of sets that a task remembers in order not to repeat a copy's prefix.
 _SEEN = 200_000
-#: log2 of the bits that tell candidate sets in a scan.
-_CANDIDATE_BITS = 25
+#: log2 of the bits that tell candidate sets in a scan, at least and at most; between them, ten bits or more a set.
+_LEAST_BITS, _MOST_BITS = 20, 28
+#: Tasks that make such bits.
+_MARK_TASKS = 1024
 
 
 def _common(n):
@@ -129,12 +131,12 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "key binary, tokens array<long>")
 
 
-def _marks(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of a column of 64-bit hashes, of fixed size: where it fills up, it lets more through."""
+def _marks(hashes: DataFrame, log2_bits: int) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes: where it fills up, it lets more through."""
     arrow, segment = pa.schema([("at", pa.int32()), ("bits", pa.binary())]), 1 << 16
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = Bits(_CANDIDATE_BITS)
+        bits = Bits(log2_bits)
         for batch in batches:
             bits.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         parts = ((i, bits.data[i : i + segment]) for i in range(0, len(bits.data), segment))
@@ -148,8 +150,8 @@ def _marks(hashes: DataFrame) -> np.ndarray:
                 held[at] = b | held[at] if at in held else b
         yield from in_batches(((at, b.tobytes()) for at, b in held.items()), arrow, 16)
 
-    whole = hashes.coalesce(64).mapInArrow(mark, "at int, bits binary").repartition(16, "at").mapInArrow(merge, "at int, bits binary").toArrow()
-    data = np.zeros(1 << _CANDIDATE_BITS >> 3, np.uint8)
+    whole = hashes.coalesce(_MARK_TASKS).mapInArrow(mark, "at int, bits binary").repartition(16, "at").mapInArrow(merge, "at int, bits binary").toArrow()
+    data = np.zeros(1 << log2_bits >> 3, np.uint8)
     for at, b in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
         data[at : at + len(b)] = np.frombuffer(b, np.uint8)
     return data
@@ -162,10 +164,12 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
     """
     spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "key", "text_hash"), "nid")
-    known = spark.sparkContext.broadcast(_marks(wanted.select("text_hash")))
+    wanted = written(wanted, "wanted")
+    log2_bits = min(_MOST_BITS, max(_LEAST_BITS, (10 * wanted.count()).bit_length()))
+    known = spark.sparkContext.broadcast(_marks(wanted.select("text_hash"), log2_bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = Bits(_CANDIDATE_BITS, known.value), set()
+        bits, seen = Bits(log2_bits, known.value), set()
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -200,6 +204,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
     links = written(right.join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
     known.destroy()
     drop_written(sets)
+    drop_written(wanted)
     free_shuffles(spark)
     return links
 
@@ -347,12 +352,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns, named = docs.columns, docs[id_col].isNotNull()
     if docs.filter(named).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         # written, so that a row's number doesn't change
-        rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        classes = similar_classes(rows, "_row", text_col, words, percent).select(F.col("doc_id").alias("_row"), "component_id")
-        order = F.struct(F.col(id_col), F.xxhash64(text_col), F.col("_row"))
-        kept = rows.filter(F.col(id_col).isNotNull()).select("_row", order.alias("_order")).join(classes, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
-        return rows.join(kept.select("_row"), "_row", "left_semi").select(*columns).union(rows.filter(F.col(id_col).isNull()).select(*columns))
+        row = fresh(columns, "_row")
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        classes = similar_classes(rows, row, text_col, words, percent).select(F.col("doc_id").alias("row"), "component_id")
+        order = F.struct(rows[id_col].alias("id"), F.xxhash64(rows[text_col]).alias("text"), rows[row].alias("row"))
+        kept = rows.filter(rows[id_col].isNotNull()).select(order.alias("order")).join(classes, F.col("order.row") == F.col("row")).groupBy("component_id").agg(F.min("order")["row"].alias(row))
+        return rows.join(kept.select(row), row, "left_semi").select(*columns).union(rows.filter(rows[id_col].isNull()).select(*columns))
+    kept_id = fresh(columns, "kept_id")
     classes = similar_classes(docs, id_col, text_col, words, percent)
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.filter(named).join(kept, docs[id_col] == F.col("kept_id"), "left_semi")
+    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    stay = docs.filter(named).join(kept, docs[id_col] == F.col(kept_id), "left_semi")
     return stay.union(docs.filter(docs[id_col].isNull()))
