@@ -46,12 +46,13 @@ class Trie:
         for verdict, rule in rules:
             host, slash, path = rule.partition("/")
             node = self.root
-            for label in reversed(host.split(".")) if host else ():
+            for label in reversed(host.translate(_LOWER).split(".")) if host else ():
                 node = node["labels"].setdefault(label, {"labels": {}})
             segments = (slash + path).split("/")  # the first is empty; the last may be the beginning of one
-            leaf = node.setdefault("paths", {"next": {}, "ends": {}})
+            leaf = node.setdefault("paths", {"next": {}, "ends": {}, "longest": 0})
             for segment in segments[:-1]:
-                leaf = leaf["next"].setdefault(segment, {"next": {}, "ends": {}})
+                leaf = leaf["next"].setdefault(segment, {"next": {}, "ends": {}, "longest": 0})
+            leaf["longest"] = max(leaf["longest"], len(segments[-1]))
             old = leaf["ends"].get(segments[-1])
             if old is None or verdict == "block":
                 leaf["ends"][segments[-1]] = (rule, verdict)
@@ -63,7 +64,7 @@ class Trie:
         for i, segment in enumerate(segments):
             ends = leaf["ends"]
             if ends:
-                for n in range(min(len(segment), max(map(len, ends))), -1, -1):
+                for n in range(min(len(segment), leaf["longest"]), -1, -1):
                     if segment[:n] in ends:
                         found = ends[segment[:n]]
                         break

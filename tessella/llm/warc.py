@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drop_written, written
+
 _CRLF = "\r\n"
 
 
@@ -36,7 +38,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.encode(pages[html_col], "UTF-8"), F.lit(b""))
     rows = pages.select(pages[id_col].alias("page_id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    narrow = rows.select("page_id", "url", "key", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
+    narrow = written(rows.select("page_id", "url", "key", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-narrow")
 
     rows.groupBy("key").agg(F.max("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
@@ -60,12 +62,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         http,
     )
     heads.select(F.encode(head, "UTF-8").alias("head"), "key").write.parquet(f"{path}/heads")
+    drop_written(narrow)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``record_type, page_id, url, refers_to, digest, head, payload, record``: each record as it was written.
 
-    ``payload`` is the full one for revisits too; ``record`` the record's own bytes.
+    ``url`` is the target in its header: line ends percent-encoded, empty where it was null. ``payload`` is the full one for revisits too; ``record`` the record's own bytes.
     """
     heads, payloads = spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/payloads")
     whole = F.sha2("payload", 256) == F.col("key")
@@ -76,9 +79,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     kind = F.col("record_type")
     out = joined.select(
         field("WARC-Type", "(\\w+)").alias("record_type"),
-        F.nullif(field("WARC-Record-ID", "<urn:page:([^>]*)>"), F.lit("")).alias("page_id"),
+        F.nullif(field("WARC-Record-ID", "<urn:page:([^\r\n]*)>"), F.lit("")).alias("page_id"),
         field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
-        F.nullif(field("WARC-Refers-To", "<urn:page:([^>]*)>"), F.lit("")).alias("refers_to"),
+        F.nullif(field("WARC-Refers-To", "<urn:page:([^\r\n]*)>"), F.lit("")).alias("refers_to"),
         field("WARC-Payload-Digest", "sha1:([0-9a-f]*)").alias("digest"),
         "head",
         "payload",
