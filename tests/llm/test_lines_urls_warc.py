@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -113,3 +114,24 @@ def test_warc_notices_damage(spark, tmp_path):
 def test_warc_of_nothing(spark, tmp_path):
     write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "c"))
     assert read_archive(spark, str(tmp_path / "c")).count() == 0
+
+
+def test_line_dedup_with_overfull_filters_and_joined_keys(spark):
+    """Filters that suspect all, and too many repeated keys to broadcast: the most frequent are, the others joined; long keys too."""
+    rng = random.Random(21)
+    lines = [f"line number {i} " + "long " * (i % 20) for i in range(60)]
+    docs = [(i, "\n".join(["in every document", *rng.sample(lines, rng.randrange(12))])) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for keep in ("none", "first"):
+        want = sorted((r["doc_id"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup(df, min_docs=10, keep=keep).collect())
+        for how in ({"log2_bits": 8}, {"most_keys": 2}, {"most_key_bytes": 300, "log2_bits": 8}):
+            got = sorted((r["doc_id"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup(df, min_docs=10, keep=keep, **how).collect())
+            assert got == want, how
+    often = Counter(k for _, t in docs for k in {x.strip() for x in t.split("\n")})
+    none = {r["doc_id"]: r["n_dropped"] for r in line_dedup(df, min_docs=10).collect()}
+    assert none == {i: sum(often[x.strip()] >= 10 for x in t.split("\n")) for i, t in docs}
+
+
+def test_rule_hosts_are_in_any_case(spark):
+    pages = spark.createDataFrame([(1, "https://www.EXAMPLE.org/a/b")], "page_id long, url string")
+    assert url_verdicts(pages, [("block", "Example.org/a")]).first()["verdict"] == "block"

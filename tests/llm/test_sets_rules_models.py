@@ -12,7 +12,7 @@ from tessella.llm.decontaminate import contamination, decontaminate, tiles
 from tessella.llm.ngram_join import one_of_each, similar_classes
 from tessella.llm.quality_rules import RULES, quality_rules
 from tessella.llm.shingles import bitmap, shingle_sets
-from tessella.llm.signature_tree import SignatureTree, close_pairs
+from tessella.llm.signature_tree import BestPartners, SignatureTree, close_pairs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -260,3 +260,214 @@ def test_classifier_samples_only_usable_labels(spark, edge_docs):
     labels = spark.createDataFrame([(100 + i, i % 2) for i in range(40)] + [(100, 0), (None, 1), (101, None)], "doc_id long, quality int")
     texts, ys = quality_cnn.labelled_sample(edge_docs, labels, F.col("doc_id") < 120, "doc_id", "text", "quality", 5, 100)
     assert len(texts) == 10 and sum(ys) == 5 and all(len(t.decode()) <= 100 for t in texts)
+
+
+def test_similar_classes_with_the_querys_parameters(spark):
+    docs = near_docs(7, 200) + [(1000 + i, " ".join(f"u{j}" for j in range(60)) + f" tail{i % 25}") for i in range(60)]
+    for cell in (8, 1024):
+        got = similar_classes(spark.createDataFrame(docs, "doc_id long, text string"), words=4, percent=85, best_rounds=1, cell=cell).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(docs, 4, 85)
+
+
+def test_best_partners_piece_by_piece():
+    rng = np.random.default_rng(4)
+    n = 40
+    sizes = rng.integers(5, 30, n)
+    a, b = np.triu_indices(n, 1)
+    overlap = rng.integers(0, 5, len(a))
+    like = {}
+    for i, j, o in zip(a.tolist(), b.tolist(), overlap.tolist(), strict=True):
+        for x, y in ((i, j), (j, i)):
+            like.setdefault(x, []).append((-o / (sizes[i] + sizes[j] - o), y))
+    want = {(min(x, min(ys)[1]), max(x, min(ys)[1])) for x, ys in like.items()}
+    partners = BestPartners(sizes)
+    order = rng.permutation(len(a))
+    for k in range(0, len(a), 7):
+        at = order[k : k + 7]
+        partners.add(a[at], b[at], overlap[at])
+    assert set(zip(*(x.tolist() for x in partners.pairs()), strict=True)) == want
+
+
+def test_signature_tree_across_two_sides():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for _ in range(50)]
+    sizes, sig = np.array([len(s) for s in sets]), np.frombuffer(b"".join(map(bitmap, sets)), np.uint8).reshape(len(sets), -1)
+    side = rng.integers(0, 2, len(sets))
+    got = {(min(i, j), max(i, j)) for a, b, _ in SignatureTree(sizes, sig, np.arange(50), side).pairs(80) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(50) for j in range(i + 1, 50) if side[i] != side[j]}
+    a, b, _ = close_pairs(sizes, sig, np.arange(50), np.zeros(50, int), 80, side)
+    assert {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == got
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(1, "one two three four five six", "a", "b", "x"), (2, "one two three four five six", "c", "d", "y"), (3, "other words stand in this row", "e", "f", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, _row string, id string")
+    assert sorted(map(tuple, one_of_each(df).collect())) == [rows[0], rows[2]]
+    again = df.union(df.filter("doc_id = 3"))
+    assert sorted(map(tuple, one_of_each(again).collect())) == [rows[0], rows[2]]
+
+
+def brute_phrases(known, text):
+    at, n = 0, 0
+    while at < len(text):
+        k = 0
+        while at + k < len(text) and text[at : at + k + 1] in known:
+            k += 1
+        at += max(1, k)
+        n += 1
+    return n
+
+
+def test_phrases_and_choice_of_long_texts_are_the_greedy_parse():
+    rng = random.Random(15)
+    train = {k: " ".join(rng.choice(LANGS[k].split()) for _ in range(300)) for k in LANGS}
+    model = language_id.fit({k: [t] for k, t in train.items()})
+    codes = model.codes()
+    texts = [lang_text(rng, rng.choice(list(LANGS)), n) for n in (1, 5, 300, 900, 1500)] + ["".join(rng.choice("abcdeqz ") for _ in range(4000))]
+    texts = [re.sub(" +", " ", t) for t in texts]
+    want = [[brute_phrases(train[k] + " ", t) for k in model.langs] for t in texts]
+    for block in (1, 7, 64, 1024, 1 << 20):
+        got = language_id.phrases(model, [language_id.symbols_of(codes[language_id.points(t)]) for t in texts], block)
+        assert got.tolist() == want, block
+    predicted = list(language_id.predict(model, codes, texts, 1024))
+    for (lang, score), row in zip(predicted, want, strict=True):
+        costs = [n * b for n, b in zip(row, model.bits, strict=True)]
+        assert lang == model.langs[int(np.argmin(costs))] and abs(score - (1 - sorted(costs)[0] / sorted(costs)[1])) < 1e-9
+
+
+def test_language_id_of_large_scripts():
+    """More letters than an automaton has symbols: each is known, and texts are told apart."""
+    rng = random.Random(16)
+    many = {"xx": [chr(0x4E00 + i) for i in range(3000)], "yy": [chr(0x4E00 + i) for i in range(2500, 6000)], "zz": [chr(0xAC00 + i) for i in range(9000)]}
+    text = lambda k, n: "".join(rng.choice(many[k]) for _ in range(n))
+    model = language_id.fit({k: [text(k, 3000) for _ in range(3)] for k in many})
+    codes = model.codes()
+    letters = list(model.code_of)
+    assert len({tuple(language_id.symbols_of(codes[[c]]).tolist()) for c in letters}) == len(letters) > 10_000
+    assert model.width == 128 and max(language_id.symbols_of(codes[letters])) < 127
+    truth = [rng.choice(list(many)) for _ in range(60)]
+    got = [k for k, _ in language_id.predict(model, codes, [text(k, 200) for k in truth], 64)]
+    assert got == truth
+
+
+def test_language_id_tables_are_bounded():
+    texts = {f"l{i}": [" ".join(random.Random(i).choice(["ab", "cd", "ef"]) for _ in range(3000))] for i in range(40)}
+    model = language_id.fit(texts, total_bytes=2_000_000)
+    assert model.steps.nbytes <= 2_000_000 and len(model.langs) == 40
+
+
+def test_held_out_rows_teach_language_id_nothing(spark, tmp_path):
+    import zlib
+
+    from tessella.llm.queries import op1_language_id
+
+    rng = random.Random(17)
+    rows = [(i, lang_text(rng, k, 80), k) for i in range(160) for k in [rng.choice(list(LANGS))]]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    other = [(i, t if i not in held else "zzz qqq " * 30, k if i not in held else "dd") for i, t, k in rows]
+    got = []
+    for name, data in (("a", rows), ("b", other)):
+        spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got.append({r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in op1_language_id(spark, str(tmp_path / name)).collect()})
+    assert {i for i, r in got[0].items() if r[0]} == held and held
+    assert all(got[0][i] == got[1][i] for i, *_ in rows if i not in held) and not any(r[1] == "dd" for r in got[1].values())
+
+
+def test_spread_takes_pieces_of_all_parts(spark):
+    from tessella.llm.common import spread
+
+    text = "".join(chr(0x4E00 + i) for i in range(1000))
+    short, long = spark.createDataFrame([("a", text[:60]), ("b", text)], "id string, text string").select(spread("text", F.col("id"), 80)).collect()
+    assert short[0] == text[:60] and len(long[0]) <= 80
+    pieces = long[0].split("\n")
+    assert [text.index(p) // 250 for p in pieces] == [0, 1, 2, 3] and all(p in text for p in pieces)
+
+
+def brute_score(net, text):
+    """The network's probability, place by place and chunk by chunk."""
+    step, part = quality_cnn.STRIDE, quality_cnn.PART
+    n = max(1, -(-len(text) // (part * step)))
+    data = np.frombuffer(text + bytes((n + 1) * part * step + quality_cnn.WIDTH - len(text)), np.uint8)
+    see = lambda place: np.concatenate([net.embed[b] for b in data[place * step : place * step + quality_cnn.WIDTH]]) @ net.filters
+    empty = np.concatenate([net.embed[0]] * quality_cnn.WIDTH) @ net.filters
+    span = (quality_cnn.CHUNK - 1) * step + quality_cnn.WIDTH
+    logits, start = [], 0
+    while True:
+        places = range(start, min(start + quality_cnn.CHUNK, n * part))
+        best = np.max([see(p) for p in places], axis=0)
+        filled = min(1.0, (len(text) - start * step) / span)
+        if filled < 1:
+            best = np.maximum(best, empty)
+        pooled = np.maximum(best + net.shift, 0)
+        logits.append(pooled @ net.out + np.array([filled, filled**0.5, filled**4]) @ net.fill + net.bias)
+        start += quality_cnn.HOP
+        if start + quality_cnn.CHUNK - quality_cnn.HOP >= n * part:
+            return 1 / (1 + np.exp(-np.mean(logits)))
+
+
+def test_scores_are_a_plain_convolution_over_every_chunk():
+    rng = np.random.default_rng(3)
+    net = quality_cnn.Network(*[rng.normal(0, 0.3, s).astype(np.float32) for s in ((256, 8), (64, 48), (48,), (48,), (3,))], bias=0.1)
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 7, 64, 65, 447, 448, 449, 511, 512, 513, 900, 1024, 3000)]
+    assert np.allclose(quality_cnn.scores(net, texts), [brute_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_keep_good_in_small_pieces(spark):
+    rng = np.random.default_rng(3)
+    net = quality_cnn.Network(*[rng.normal(0, 0.5, s).astype(np.float32) for s in ((256, 8), (64, 48), (48,), (48,), (3,))])
+    rows = [(i, "x" * (i % 40) + chr(97 + i % 26) * (i % 300), i) for i in range(200)] + [(200, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    scores = quality_cnn.scores(net, [(t or "").encode() for _, t, _ in rows])
+    ordered = np.sort(scores)
+    middle = 90 + int(np.argmax(np.diff(ordered[90:110])))  # between two scores that differ
+    cut = float(ordered[middle : middle + 2].mean())
+    for most in (1, 5000, 1_000_000):
+        kept = {r["doc_id"] for r in quality_cnn.keep_good(df, net, threshold=cut, most=most).collect()}
+        assert kept == {i for (i, *_), s in zip(rows, scores, strict=True) if s >= cut}
+
+
+def test_labelled_sample_with_repeated_ids_and_one_rare_class(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 > 0)) for i in range(3000) for _ in range(3)] + [(7, 0)], "doc_id long, quality int")
+    texts, ys = quality_cnn.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "quality", 20, 100)
+    assert len(texts) == len(set(texts)) == 40 and sum(ys) == 20
+    assert all((int(t.split()[1]) % 100 > 0 and t != b"text 7") == bool(y) for t, y in zip(texts, ys, strict=True))
+
+
+def test_rules_where_windows_share_hash_bits(spark, monkeypatch):
+    """So few bits for hash and place that texts must be compared, or windows sorted, as words."""
+    from tessella.llm import quality_rules as module
+
+    rng = random.Random(18)
+    docs = [(i, " ".join(rng.choice(["a", "b", "cc", "dd"]) for _ in range(rng.randrange(120)))) for i in range(60)] + [(60, " ".join(f"w{i}" for i in range(90)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for places in ((1 << 61) - 1, 15, (1 << 22) - 1):
+        monkeypatch.setattr(module, "_PLACES", places)
+        got = {r["doc_id"]: r["n_repeat_words"] for r in module.measured(df).select("doc_id", "n_repeat_words").collect()}
+        assert got == {i: brute_rules(t)[4] for i, t in docs}
+
+
+def test_rule_order_follows_rejections_per_cost(spark):
+    from tessella.llm.quality_rules import Rule, order_rules
+
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60)) + (" #" * 3 if i % 2 else "")) for i in range(80)], "doc_id long, text string")
+    rules = [Rule("never", "false"), Rule("dear", "n_symbols > 0", "length(text)"), Rule("cheap", "n_symbols > 0"), Rule("always_dear", "true", "length(text)")]
+    for _ in range(2):
+        assert [r.name for r in order_rules(df, rules, 500)] == ["cheap", "always_dear", "dear", "never"]
+
+
+def test_short_items_match_whole_where_asked(spark):
+    docs = spark.createDataFrame([(1, "a too short item"), (2, "short too"), (3, "one two three four five six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "too short"), (2, "one two three four five six"), (3, "two three")], "item_id long, text string")
+    for block in (4_000_000, 30):
+        got = contamination(docs, bench, block_chars=block, min_item=2).collect()
+        assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in got} == {(1, 1, 1.0), (3, 2, 1.0), (3, 3, 1.0)}
+        assert [r["doc_id"] for r in decontaminate(docs.withColumn("digest", F.lit("x")), bench, block_chars=block, min_item=2).collect()] == [2]
+
+
+def test_equal_items_are_dealt_over_blocks(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "one two three four five six") for i in range(40)], "item_id long, text string")
+    got = contamination(docs, bench, block_chars=200).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(40))
