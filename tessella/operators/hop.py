@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,32 +17,40 @@ from .rank import top_k
 
 PERSONS = T.ArrayType(T.StructType([T.StructField("cjk", T.StringType()), T.StructField("latin", T.StringType())]))
 
-_HAN = re.compile(r"[一-鿿]{2,4}")
-_LATIN = re.compile(r"\b[A-Z][a-z]+(?:[ -][A-Z][a-z]+){1,3}\b")
-_GROUP = re.compile(r"[（(]([^()（）]+)[）)]")
-# Runs that look like names and are none.
-NOT_PERSONS = ("教师", "老师", "教授", "导师", "任课", "课程", "学院", "大学", "学分")
-NOT_LATIN = ("University", "School", "Institute", "Department", "College")
-
-
-def _parts(text: str) -> list[str]:
-    """Pieces between commas, semicolons, slashes and ideographic commas that stand outside parentheses."""
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c in "（(") - (c in "）)" and depth > 0)
-        if not depth and c in ",，、;；/":
-            out.append(text[at:i])
-            at = i + 1
-    return [x for x in (p.strip() for p in [*out, text[at:]]) if x]
-
-
-def _latin(text: str) -> list[str]:
-    found = (re.sub(r"\s+", " ", m) for m in _LATIN.findall(text.replace(".", " ")))
-    return list(dict.fromkeys(x for x in found if not any(w in x for w in NOT_LATIN)))
+#: What a line of names is made of: a parenthesis, a mark between persons, a run of Han letters, a Latin name.
+_TOKEN = re.compile(r"(?P<group>[（(][^()（）]+[）)])|(?P<mark>[,，、;；/])|(?P<cjk>[一-鿿]{2,4})|(?P<latin>\b[A-Z][a-z]+(?:[ -][A-Z][a-z]+){1,3}\b)")
+# Parts of runs that look like names and are none.
+NOT_PERSONS = {
+    "cjk": ("教师", "老师", "教授", "导师", "任课", "课程", "学院", "大学", "学分"),
+    "latin": ("University", "School", "Institute", "Department", "College"),
+}
+
+
+def _names(text: str) -> pd.DataFrame:
+    """``piece, kind, inside, name`` of the names in a line: pieces lie between marks, ``inside`` those in parentheses."""
+    rows: list[tuple[int, str, bool, str]] = []
+    piece = 0
+
+    def put(kind: str, name: str, inside: bool) -> None:
+        if not any(w in name for w in NOT_PERSONS[kind]) and (piece, kind, inside, name) not in rows:
+            rows.append((piece, kind, inside, name))
+
+    for token in _TOKEN.finditer(text):
+        kind = token.lastgroup
+        if kind == "mark":
+            piece += 1
+        elif kind == "group":
+            for inner in _TOKEN.finditer(token[0][1:-1]):
+                if inner.lastgroup == "latin":
+                    put("latin", inner[0], True)
+        else:
+            put(kind, token[0], False)
+    return pd.DataFrame(rows, columns=["piece", "kind", "inside", "name"])
 
 
-def _han(text: str) -> list[str]:
-    return list(dict.fromkeys(x for x in _HAN.findall(text) if not any(w in x for w in NOT_PERSONS)))
+def _paired(cjk: Sequence[str], latin: Sequence[str]) -> list[tuple[str, str]]:
+    """Names of two scripts by place; Latin ones alone only where there are no others."""
+    return [(a, b or "") for a, b in zip_longest(cjk, latin[: len(cjk)])] if len(cjk) else [("", b) for b in latin]
 
 
 def persons_of(text: str | None) -> list[tuple[str, str]]:
@@ -49,27 +58,29 @@ def persons_of(text: str | None) -> list[tuple[str, str]]:
 
     One parenthesis with several Latin names belongs to the CJK names before it, in order.
     """
-    text = re.sub(r"\s+", " ", text or "").strip(" -:：;；")
-    groups = _GROUP.findall(text)
-    pool = list(dict.fromkeys(n for g in groups for p in _parts(g) for n in _latin(p)))
-    han = list(dict.fromkeys(n for p in _parts(_GROUP.sub(" ", text)) for n in _han(p)))
-    if len(groups) == 1 and len(pool) > 1 and han:
-        found = [(n, pool[i] if i < len(pool) else "") for i, n in enumerate(han)]
+    line = re.sub(r"\s+", " ", (text or "").replace(".", " "))
+    found = _names(line)
+    han, inner = (list(dict.fromkeys(found.name[k])) for k in ((found.kind == "cjk"), found.inside.astype(bool)))
+    if len(inner) > 1 and han and line.count("(") + line.count("（") == 1:
+        pairs = _paired(han, inner)
     else:
-        found = []
-        for p in _parts(text):
-            latin = [n for g in _GROUP.findall(p) for n in _latin(g)] or _latin(p)
-            own = _han(_GROUP.sub(" ", p))
-            found += [(n, latin[i] if i < len(latin) else "") for i, n in enumerate(own)] if own else [("", n) for n in latin]
-    merged: list[tuple[str, str]] = []
-    for han_name, latin_name in found:
-        same = next((i for i, (a, b) in enumerate(merged) if (han_name and a == han_name) or (latin_name and b.lower() == latin_name.lower())), None)
-        if same is None:
-            merged.append((han_name, latin_name))
-        else:
-            a, b = merged[same]
-            merged[same] = (a or han_name, b or latin_name)
-    return merged
+        pairs = []
+        for _, own in found.groupby("piece", sort=True):
+            latin = own[own.kind == "latin"]
+            latin = latin[latin.inside] if latin.inside.any() else latin
+            pairs += _paired(list(own.name[own.kind == "cjk"]), list(latin.name))
+    # rows that share a name are one person
+    persons: list[list[str]] = []
+    known: dict[str, list[str]] = {}
+    for pair in pairs:
+        forms = [x.lower() for x in pair if x]
+        person = next((known[x] for x in forms if x in known), None)
+        if person is None:
+            person = ["", ""]
+            persons.append(person)
+        person[:] = [old or new for old, new in zip(person, pair, strict=True)]
+        known |= dict.fromkeys(forms, person)
+    return [tuple(p) for p in persons]
 
 
 @pandas_udf(PERSONS)

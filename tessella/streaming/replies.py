@@ -2,84 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CLOSING, OPENING = "</think>", "<think>"
-# Beginnings of replies that think aloud.
-PREFIXES = ("<think>", "Thinking Process:", "Thinking process:", "思考过程")
+from ..operators.assist import THINK_CLOSE, THINK_OPEN, THINK_PREFIXES
+
+#: A rule's way to say that more text must come first.
+WAIT = None
+
+
+def _begin(text: str, last: bool):
+    """A reply's beginning: thinking, an answer, or (in a prefix's letters but for their case) thinking if a closing mark comes."""
+    start = text.lstrip()
+    if THINK_CLOSE in text or start.startswith(THINK_PREFIXES):
+        return "think", "", text.replace(THINK_OPEN, "", 1) if start.startswith(THINK_OPEN) else text
+    low = start.lower()
+    if not last and any(p.lower().startswith(low) for p in THINK_PREFIXES):
+        return WAIT
+    return ("unsure" if low.startswith(tuple(p.lower() for p in THINK_PREFIXES)) else "answer"), "", text
+
+
+def _unsure(text: str, last: bool):
+    return ("think", "", text) if THINK_CLOSE in text else ("answer", "", text) if last else WAIT
+
+
+def _think(text: str, last: bool):
+    """All but what may be the beginning of the closing mark."""
+    before, mark, after = text.partition(THINK_CLOSE)
+    if mark:
+        return "answer", before, after
+    sure = len(text) if last else len(text) - len(THINK_CLOSE) + 1
+    return ("think", text[:sure], text[sure:]) if sure > 0 else WAIT
+
+
+def _answer(text: str, last: bool):
+    return ("answer", text, "") if text else WAIT
+
+
+#: State: what it makes of the text that is held: the next state, text to give out as the state's own, text to hold.
+RULES = {"": _begin, "unsure": _unsure, "think": _think, "answer": _answer}
 
 
 class Splitter:
-    """Feeds on deltas, yields ``(kind, text)``. ``mode`` is undecided until the beginning is known; as long as the closing
-    mark may have begun, its length less one is held back."""
-
-    def __init__(self, mode: str = "", held: str = "", prefixes: Sequence[str] = PREFIXES):
-        self.mode, self.held, self.prefixes = mode, held, prefixes
-
-    def _decide(self, last: bool) -> str:
-        start = self.held.lstrip()
-        if CLOSING in self.held or start.startswith(tuple(self.prefixes)):
-            return "think"
-        if not start or (not last and any(p.startswith(start) for p in self.prefixes)):
-            return "answer" if last else ""
-        return "answer"
-
-    def _opened(self) -> None:
-        start = self.held.lstrip()
-        if start.startswith(OPENING):
-            self.held = self.held[: len(self.held) - len(start)] + start[len(OPENING) :]
-
-    def feed(self, delta: str) -> Iterator[tuple[str, str]]:
+    """An automaton that feeds on deltas and yields ``(kind, text)``; ``mode`` (empty at first) and ``held`` are its whole state."""
+
+    def __init__(self, mode: str = "", held: str = ""):
+        self.mode, self.held = mode, held
+
+    def feed(self, delta: str, last: bool = False) -> Iterator[tuple[str, str]]:
         self.held += delta
-        if not self.mode:
-            self.mode = self._decide(False)
-            if self.mode == "think":
-                self._opened()
-        if self.mode == "think" and CLOSING in self.held:
-            before, _, after = self.held.partition(CLOSING)
-            self.mode, self.held = "answer", after
-            if before:
-                yield "think", before
-        keep = len(CLOSING) - 1 if self.mode == "think" else 0
-        if self.mode and len(self.held) > keep:
-            out, self.held = self.held[: len(self.held) - keep], self.held[len(self.held) - keep :]
-            yield self.mode, out
+        while self.held and (step := RULES[self.mode](self.held, last)) is not WAIT:
+            kind, (self.mode, out, self.held) = self.mode, step
+            if out:
+                yield kind, out
 
     def finish(self) -> Iterator[tuple[str, str]]:
-        mode = self.mode or self._decide(True)
-        if mode == "think" and not self.mode:
-            self._opened()
-        if self.held:
-            yield mode, self.held
-        self.held = ""
+        yield from self.feed("", True)
 
 
 def split_stream(deltas: DataFrame) -> DataFrame:
-    """``request_id, kind, text`` of a stream ``request_id, seq, delta, last`` (boolean: the request's last delta)."""
+    """``request_id, kind, text`` of a stream ``request_id, seq, delta, last`` (boolean: the request's last delta).
+
+    ``seq`` counts a request's deltas from 0. Those that come before their turn wait in the state, whatever batch or frame brings them.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        splitter = Splitter(*state.get) if state.exists else Splitter()
+        mode, held, turn, waiting = state.get if state.exists else ("", "", 0, "{}")
+        splitter, waiting = Splitter(mode, held), json.loads(waiting)
+        for frame in frames:
+            waiting |= {str(seq): (delta or "", bool(last)) for seq, delta, last in frame[["seq", "delta", "last"]].itertuples(index=False)}
         out: list[tuple] = []
         ended = False
-        for frame in frames:
-            for delta, last in frame.sort_values("seq")[["delta", "last"]].itertuples(index=False):
-                out += splitter.feed(delta or "")
-                if last:
-                    out += splitter.finish()
-                    ended = True
-        if ended:
-            state.remove() if state.exists else None
-        else:
-            state.update((splitter.mode, splitter.held))
+        while not ended and str(turn) in waiting:
+            delta, ended = waiting.pop(str(turn))
+            out += splitter.feed(delta, ended)
+            turn += 1
+        if not ended:
+            state.update((splitter.mode, splitter.held, turn, json.dumps(waiting)))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame([(key[0], k, t) for k, t in out], columns=["request_id", "kind", "text"])
 
     kind = deltas.schema["request_id"].dataType.simpleString()
-    return deltas.groupBy("request_id").applyInPandasWithState(step, f"request_id {kind}, kind string, text string", "mode string, held string", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("request_id").applyInPandasWithState(step, f"request_id {kind}, kind string, text string", "mode string, held string, turn long, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def sse_data(lines: DataFrame, value_col: str = "value") -> DataFrame:

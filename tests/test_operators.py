@@ -181,3 +181,45 @@ def test_group_order_is_by_count(spark):
 def test_lcg_sample_is_stable(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 3)
     assert rows(rank.lcg_sample(df, 2, "g"), "id") == rows(rank.lcg_sample(df.repartition(7), 2, "g"), "id")
+
+
+@pytest.mark.parametrize(
+    "reply,think,answer",
+    [
+        ("<think>a</think>\nb", "a", "b"), ("Here's a thinking process: x", "x", ""), ("  Here is a thinking process: x</think>y</think>z", "x", "y</think>z"), ("Thinking process: x", "x", ""),
+        ("思考过程 x", "", "思考过程 x"), ("Thinking Process: x", "", "Thinking Process: x"), ("<think> Thinking process: x", "x", ""), ("plain\n", "", "plain"), ("", "", ""),
+    ],
+)
+def test_thinking_is_told_like_in_the_stream(spark, reply, think, answer):
+    from tessella.streaming.replies import Splitter
+
+    row = spark.createDataFrame([(reply,)], "reply string").select(*assist.split_thinking("reply")).first()
+    assert tuple(row) == (think, answer)
+    for n in (1, 2, 5, 100):
+        s = Splitter()
+        out = [p for i in range(0, len(reply), n) for p in s.feed(reply[i : i + n])] + list(s.finish())
+        assert "".join(t for k, t in out if k == "answer").strip() == answer and "".join(t for k, t in out if k == "think").strip().endswith(think)
+
+
+def test_persons_of_several_shapes():
+    assert hop.persons_of("教师 张三 (San Zhang)；李四") == [("张三", "San Zhang"), ("李四", "")]
+    assert hop.persons_of("张三(San Zhang), 张三, San Zhang") == [("张三", "San Zhang")]
+    assert hop.persons_of("张三、李四、王五(San Zhang, Si Li)") == [("张三", "San Zhang"), ("李四", "Si Li"), ("王五", "")]
+    assert hop.persons_of("J. Ada Lovelace / Data University; Alan Turing") == [("", "Ada Lovelace"), ("", "Alan Turing")]
+
+
+def test_context_shares_and_ends():
+    hit = lambda n, **more: {"type": "web", "path": "p", "text": "x" * n, **more}
+    assert assist.context_of([hit(5000)], 100) == "[1] type=web | path=p\n" + "x" * 117 + "..."
+    blocks = assist.context_of([hit(5000)] * 9, 7200).split("\n\n")
+    assert [len(b.partition("\n")[2]) for b in blocks[:5]] == [1200] * 5 and len(blocks) == 6
+    assert assist.context_of([hit(3, title="ab")], 500, {"xx": "y"}) == "[1] title=ab | type=web | path=p\nyx"
+
+
+def test_years_are_taken_together(spark):
+    queries = routes.parsed(spark.createDataFrame([(1, "zz 2023 2024")], "query_id long, query string"))
+    text = [(1, "made in 2024", "", "c"), (2, "made in 2019", "", "c"), (3, "undated", "", "courses"), (4, "undated", "2023-01", "c")]
+    chunks = spark.createDataFrame([(i, "", t, "", d, c, "web", "", 0.0) for i, t, d, c in text], "chunk_id long, title string, text string, url string, date string, category string, source_type string, path string, quality double")
+    hits = chunks.select(F.lit(1).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
+    got = dict(rows(routes.rule_rerank(hits, chunks, queries, priority={}), "chunk_id", "score"))
+    assert {k: round(v - 1, 6) for k, v in got.items()} == {1: 16 + 4 * 0.35, 2: -36.0, 3: -20.5, 4: 24.0}

@@ -7,8 +7,6 @@ from collections import Counter
 import pytest
 
 import __spark_entry__
-from tessella.llm.decontaminate import contamination
-from tessella.llm.ngram_join import one_of_each
 from tessella.operators import dedup
 
 TOKEN = re.compile(r"[a-zA-Z][a-zA-Z0-9_+#.-]*|\d+(?:\.\d+)?")
@@ -66,19 +64,3 @@ def test_rounds_of_a_pool_choose_what_one_group_does(spark):
     for k in (3, 8):
         want = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dedup.greedy_diverse(hits, k).collect())
         assert want and sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dedup.greedy_diverse(hits, k, pool=2).collect()) == want
-
-
-def test_near_duplicates_keep_each_text_of_a_repeated_id(spark):
-    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
-    rows = [(3, text(3)), (5, text(3)), (5, text(5)), (6, None), (6, text(6)), (7, text(7)), (7, text(7)), (None, text(7))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = one_of_each(docs).collect()
-    want = [(3, text(3)), (5, text(5)), (6, None), (6, text(6)), (7, text(7)), (None, text(7))]
-    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
-
-
-def test_items_in_a_script_without_spaces_are_found(spark):
-    item = "机器学习课程的先修要求是线性代数与概率论"
-    docs = spark.createDataFrame([(1, f"本页说明{item}以及其他内容"), (2, "本页只谈图书馆的开放时间和借阅规则"), (3, None)], "doc_id long, text string")
-    got = contamination(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert [(r["doc_id"], r["item_id"], r["item_tokens"], r["coverage"]) for r in got] == [(1, 9, len(item), 1.0)]
