@@ -63,6 +63,10 @@ EXPANSIONS = {"课程": ("course", "courses"), "任课老师": ("instructor", "t
 BM25F_WEIGHTS = {"title": 3.0, "text": 1.0, "category": 0.8, "url": 0.2}
 BM25F_B = {"title": 0.2, "text": 0.75, "category": 0.0, "url": 0.0}
 SOURCE_PRIORITY = {"verified_seed": 7.0, "live_official": 6.2, "local_official_mirror": 5.0, "training": 5.0, "structured_json": 4.6, "structured_table": 4.4, "web": 2.8, "text_pages": 2.4, "pdf_md": 1.2}
+#: Categories of structured chunks, of course lists and of contact lists.
+STRUCTURED_CATEGORIES = ("courses", "sist_courses", "courses_clean", "courses_unified", "course_schedule", "course_teacher_map", "prof_courses_full", "faculty_members", "sist_faculty", "faculty", "faculty_merged", "all_faculty", "professors", "professors_clean", "professors_enriched", "contacts", "program_requirements", "program_sources", "program", "events", "news", "leadership", "leadership_roles", "university_overview", "university_contact", "sist_overview", "sist_degree_programs", "sist_news_events", "sist_research")
+COURSE_CATEGORIES = ("courses", "sist_courses", "courses_clean", "courses_unified")
+CONTACT_CATEGORIES = ("contacts", "faculty_members", "sist_faculty", "professors_enriched", "leadership", "leadership_roles")
 TIER_BOOST = {"verified_seed": 8.0, "live_official": 5.5, "local_official_mirror": 4.0, "llm_curated": 3.5}
 TIER_QUALITY = {"verified_seed": 0.45, "live_official": 0.36, "local_official_mirror": 0.30, "llm_curated": 0.26}
 RRF_WEIGHTS = {"lexical": 1.0, "structured": 1.15, "dense": 1.0}

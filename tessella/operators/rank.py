@@ -27,12 +27,13 @@ def top_k(rows: DataFrame, k: int, by: Sequence[str] = ("query_id",), order: Seq
 
 
 def postings(docs: DataFrame, fields: Sequence[str], id_col: str = "chunk_id", wide: bool = False) -> DataFrame:
-    """``chunk_id, field, token, tf, len``. A document's tokens are counted in its task before they are shuffled."""
+    """``chunk_id, field, token, tf, len``. A document's tokens are counted inside its row, as runs of the sorted array; nothing is shuffled."""
     parts = []
     for f in fields:
-        words = docs.select(F.col(id_col).alias("chunk_id"), tokens(f, wide).alias("toks")).select("chunk_id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("token"))
-        runs = words.groupBy("chunk_id", "token", "len").agg(F.count("*").alias("tf"))
-        parts.append(runs.select("chunk_id", F.lit(f).alias("field"), "token", "tf", "len"))
+        words = docs.select(F.col(id_col).alias("chunk_id"), F.sort_array(tokens(f, wide)).alias("toks"))
+        starts = words.withColumn("starts", F.expr("filter(transform(toks, (t, i) -> if(i > 0 AND t = get(toks, i - 1), null, i)), i -> i is not null)"))
+        runs = starts.select("chunk_id", F.size("toks").cast("long").alias("len"), F.explode(F.expr("transform(starts, (s, k) -> struct(toks[s] AS token, cast(coalesce(get(starts, k + 1), size(toks)) - s AS long) AS tf))")).alias("run"))
+        parts.append(runs.select("chunk_id", F.lit(f).alias("field"), "run.token", "run.tf", "len"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -56,18 +57,18 @@ def query_terms(queries: DataFrame, wide: bool = False, most: int | None = None)
     return queries.select("query_id", F.explode(tokens("query", wide)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def _only(posted: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the queries' tokens; the terms are broadcast if they are few."""
+def _only(posted: DataFrame, terms: DataFrame):
+    """Postings of the queries' tokens, and what to do with tables of one row a term: they are broadcast if the terms are few."""
     wanted = terms.select("token").distinct()
-    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    return posted.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
+    small = F.broadcast if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else lambda table: table
+    return posted.join(small(wanted), "token", "left_semi"), small
 
 
 def bm25f(docs: DataFrame, queries: DataFrame, weights: Mapping[str, float] = fixed.BM25F_WEIGHTS, b: Mapping[str, float] = fixed.BM25F_B, k1: float = 1.5, categories: Sequence[str] | None = None, id_col: str = "chunk_id", posted: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_id, score``. Document frequencies and lengths are of all documents, whatever ``categories`` lets through."""
     fields = list(weights)
     terms = query_terms(queries)
-    posted = _only(posted if posted is not None else postings(docs, fields, id_col), terms)
+    posted, small = _only(posted if posted is not None else postings(docs, fields, id_col), terms)
     stats = stats if stats is not None else field_stats(docs, fields)
     table = stats.select("field", "n_docs", "avg_len")
     weight, slope = F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.create_map(*[F.lit(x) for f in fields for x in (f, float(b.get(f, 0.75)))])
@@ -75,19 +76,21 @@ def bm25f(docs: DataFrame, queries: DataFrame, weights: Mapping[str, float] = fi
     # one row a field, so the table of statistics is always broadcast
     wtf = posted.join(F.broadcast(table), "field").groupBy("token", "chunk_id").agg(F.sum(weight[F.col("field")] * F.col("tf") / F.greatest(norm, F.lit(1e-9))).alias("wtf"), F.max("n_docs").alias("n"))
     df = wtf.groupBy("token").agg(F.count("*").alias("df"))
-    scored = wtf.join(df, "token").join(terms, "token")
+    scored = wtf.join(small(df), "token").join(terms, "token")
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if categories:
         scored = scored.join(docs.filter(F.col("category").isin(list(categories))).select(F.col(id_col).alias("chunk_id")), "chunk_id", "left_semi")
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * (k1 + 1.0) * F.col("wtf") / (k1 + F.col("wtf"))).alias("score"))
 
 
-def fts_bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id") -> DataFrame:
-    """``query_id, chunk_id, score`` of a full-text search: one field, inverse frequency never below 1e-6."""
+def fts_bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id", categories: Sequence[str] | None = None) -> DataFrame:
+    """``query_id, chunk_id, score`` of a full-text search: one field, inverse frequency never below 1e-6; frequencies are of all documents, whatever ``categories`` lets through."""
     terms = query_terms(queries, wide, most_terms)
-    posted, stats = _only(postings(docs, [text_col], id_col, wide), terms), field_stats(docs, [text_col], wide)
+    (posted, small), stats = _only(postings(docs, [text_col], id_col, wide), terms), field_stats(docs, [text_col], wide)
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    scored = posted.join(df, "token").join(terms, "token").join(F.broadcast(stats.select("n_docs", "avg_len")))
+    scored = posted.join(small(df), "token").join(terms, "token").join(F.broadcast(stats.select("n_docs", "avg_len")))
+    if categories:
+        scored = scored.join(docs.filter(F.col("category").isin(list(categories))).select(F.col(id_col).alias("chunk_id")), "chunk_id", "left_semi")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))).alias("score"))
 

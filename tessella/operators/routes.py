@@ -128,25 +128,49 @@ def _test(feature: Feature) -> Column:
     return {"equals": field == p, "contains": field.contains(p), "like": field.like(p), "matches": field.rlike(feature.pattern)}[feature.op]
 
 
-def rule_rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, features: Sequence[Feature] = (), priority=fixed.SOURCE_PRIORITY) -> DataFrame:
-    """``query_id, chunk_id, score``: raw score plus source priority, quality, token, code, year, entity and rule features.
+def has_code(hay: Column, code: Column) -> Column:
+    """Whether a code (a column) stands in upper-cased text with no letter or digit beside it."""
+    return F.regexp_like(F.upper(hay), F.concat(F.lit(r"(?<![A-Z0-9])\Q"), code, F.lit(r"\E(?![A-Z0-9])")))
 
-    ``hits`` are candidate lists, a few hundred a query, so the joins are by chunk and query.
+
+def rule_rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, features: Sequence[Feature] = (), priority=fixed.SOURCE_PRIORITY, structured: Sequence[str] = fixed.STRUCTURED_CATEGORIES, courses: Sequence[str] = fixed.COURSE_CATEGORIES, contacts: Sequence[str] = fixed.CONTACT_CATEGORIES) -> DataFrame:
+    """``query_id, chunk_id, score``: raw score plus source priority, quality, token, code, year, entity, contact and rule features.
+
+    ``hits`` are candidate lists, a few hundred a query, so the joins are by chunk and query. Each code and entity of a
+    query adds its own weights; its years are taken together: one that fits is enough.
     """
     rows = hits.select("query_id", "chunk_id", "score").join(chunks, "chunk_id").join(queries, "query_id")
-    title, text = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
-    head = F.substring(text, 1, 1800)
-    total = F.col("score") + 4.0 * F.coalesce("quality", F.lit(0.0))
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    title, text, date, category = (plain(c) for c in ("title", "text", "date", "category"))
+    hay = F.concat(title, F.lit("\n"), text)
+    low, low_title = F.lower(hay), F.lower(title)
+    add = lambda condition, weight, otherwise=0.0: F.when(condition, F.lit(weight)).otherwise(F.lit(otherwise))
+    asks = lambda words: reduce(lambda a, b: a | b, (F.col("query").contains(w) for w in words))
+    each = lambda c, weight: F.aggregate(c, F.lit(0.0), lambda s, x: s + weight(x))
+
     source = F.lit(1.0)
     for k, v in priority.items():
         source = F.when(F.col("source_type") == k, v).otherwise(source)
-    total = total + source + F.when(F.col("source_type") == "structured_table", 1.5).when(F.col("source_type") == "pdf_md", -2.0).otherwise(0.0)
-    # The weights of a token in title and body, of an entity, of a code and of a year.
-    total = total + F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(F.contains(title, t), F.least(F.length(t), F.lit(8)) * 1.2).when(F.contains(text, t), F.least(F.length(t), F.lit(8)) * 0.35).otherwise(0.0))
-    compact = [compact_ascii(x) for x in (title, head, text)]
-    total = total + F.aggregate("entities", F.lit(0.0), lambda s, e: s + F.when(F.contains(compact[0], compact_ascii(e)), 38.0).otherwise(0.0) + F.when(F.contains(compact[1], compact_ascii(e)), 28.0).when(F.contains(compact[2], compact_ascii(e)), 12.0).otherwise(0.0))
-    total = total + F.aggregate("codes", F.lit(0.0), lambda s, c: s + F.when(F.upper("title") == c, 35.0).otherwise(0.0) + F.when(F.contains(F.upper("text"), c), 18.0).otherwise(-30.0))
-    total = total + F.aggregate("years", F.lit(0.0), lambda s, y: s + F.when(F.contains(text, y) | F.contains(title, y), 16.0 + F.when(F.startswith(F.coalesce("date", F.lit("")), y), 8.0).otherwise(0.0)).otherwise(-22.0))
+    total = F.col("score") + 4.0 * F.coalesce("quality", F.lit(0.0)) + source
+    # All weights below.
+    total += add(category.isin(list(structured)), 1.5) + add(F.col("source_type") == "pdf_md", -2.0)
+    total += each("terms", lambda t: F.least(F.length(t), F.lit(8)) * F.when(F.contains(low_title, F.lower(t)), 1.2).when(F.contains(low, F.lower(t)), 0.35).otherwise(0.0))
+    in_title, in_head, in_hay = compact_ascii(title), compact_ascii(F.substring(text, 1, 1800)), compact_ascii(hay)
+    entities_ = F.filter(F.transform("entities", compact_ascii), lambda e: e != "")
+    total += each(entities_, lambda e: add(F.contains(in_title, e), 38.0) + F.when(F.contains(in_head, e), 28.0).when(F.contains(in_hay, e), 12.0).otherwise(0.0))
+
+    stated = lambda c: F.contains(text, F.concat(F.lit("课程代码: "), c)) | F.contains(text, F.concat(F.lit("# "), c))
+    of_course = F.contains(text, F.lit("任课教师:")) | F.contains(text, F.lit("课程代码:")) | category.isin(list(courses))
+    asked = F.when(asks(("任课", "老师", "教师", "学分", "课程")), add(of_course, 10.0, -8.0)).otherwise(0.0)
+    total += each("codes", lambda c: add(F.upper(title) == c, 35.0) + F.when(stated(c), 45.0).when(has_code(hay, c), 18.0).otherwise(-30.0) + asked)
+
+    dated = F.exists("years", lambda y: F.startswith(date, y))
+    fits = dated | F.exists("years", lambda y: F.contains(hay, y))
+    off = lambda c: (F.size(years(c)) > 0) & ~F.arrays_overlap(years(c), "years")
+    total += F.when(F.size("years") > 0, F.when(fits, 16.0 + add(dated, 8.0)).otherwise(-22.0) + add(off(hay), -14.0) + add(off(title), -18.0)).otherwise(0.0)
+
+    contact = add(category.isin(list(contacts)), 8.0) + add(reduce(lambda a, b: a | b, (text.contains("邮箱:"), low.contains("email"), text.contains("办公室"), low.contains("office"))), 4.0)
+    total += F.when(asks(("邮箱", "email", "邮件", "电话", "office", "办公室")), contact).otherwise(0.0)
     for f in features:
         on = F.array_contains("intents", f.intent) if f.intent else F.lit(True)
         total = total + F.when(on & _test(f), f.weight).when(on, f.otherwise).otherwise(0.0)
