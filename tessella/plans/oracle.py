@@ -1,5 +1,7 @@
 """DuckDB SQL for the driver's queries."""
 
+from . import whole
+
 _ASKED = """q(query_id, query) AS (VALUES (1::BIGINT, 'the nation of the'), (2, 'that with heat tion'), (3, 'was entan ere'), (4, 'de la que los'), (5, 'und der die'))"""
 _RE = r"[a-zA-Z][a-zA-Z0-9_+#.-]*|\d+(?:\.\d+)?"
 
@@ -67,8 +69,8 @@ g2 AS (SELECT *, regexp_matches(t, '\\(cid:\\d+\\)') OR contains(t, 'â') OR con
   contains(h, '�') OR contains(h, 'â') OR contains(h, 'Ã') OR (length(h) >= 300 AND cjk < 30 AND ({_MOJI_2}) > 30) AS garbled_head FROM g1)"""
 
 ORACLE_SQL = {
-    "tok_ascii_tf": f"WITH {_stats(['text'])} SELECT token, sum(tf)::BIGINT AS tf, count(*) AS docs FROM p GROUP BY token HAVING count(*) >= 5",
-    "doc_freq": f"WITH {_stats(['text', 'source'])} SELECT token, count(DISTINCT doc_id) AS df FROM p GROUP BY token HAVING count(DISTINCT doc_id) >= 10",
+    "tok_ascii_tf": f"WITH {_stats(['text'])} SELECT token, sum(tf)::BIGINT AS tf, count(*) AS docs FROM p GROUP BY token",
+    "doc_freq": f"WITH {_stats(['text', 'source'])} SELECT token, count(DISTINCT doc_id) AS df FROM p GROUP BY token",
     "avg_field_len": f"WITH {_stats(['text', 'source', 'lang'])} SELECT field, n AS n_docs, round(avg_len, 6) AS avg_len FROM st",
     "bm25f_topk": f"{_BOTH} {_top('bm', 10)}",
     "bm25f_multifield": f"WITH {_bm25f("q(query_id, query) AS (VALUES (1::BIGINT, 'en the src4'), (2, 'fr la src7'))", {'text': 1.0, 'source': 3.0, 'lang': 0.8}, {'text': 0.75, 'source': 0.2, 'lang': 0.0})} {_top('bm', 20)}",
@@ -91,7 +93,7 @@ w AS (SELECT doc_id, t, unnest(range(0, (greatest(0, ceil((length(t) - 900) / 78
 c AS (SELECT doc_id, s, {_strip("substr(t, s + 1, 900)")} AS chunk FROM w)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, chunk FROM c WHERE length(chunk) >= 80""",
     "exact_dedup": rf"""SELECT min(doc_id) AS doc_id, hash FROM (SELECT doc_id, sha1(lower({_strip(f"regexp_replace(text, '[{_SPACE}]+', ' ', 'g')")})) AS hash FROM documents) GROUP BY hash""",
-    "neighbor_expand": """WITH c AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS doc_id, turn FROM conversations), h AS (SELECT doc_id % 5 AS query_id, chunk_id, doc_id, turn FROM c WHERE turn = 1 AND doc_id % 3 = 0),
+    "neighbor_expand": """WITH c AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS doc_id, turn FROM conversations), h AS (SELECT doc_id % 5 AS query_id, chunk_id, doc_id, turn FROM c WHERE turn = 1),
 n AS (SELECT DISTINCT query_id, c.chunk_id FROM h JOIN c ON h.doc_id = c.doc_id AND abs(c.turn - h.turn) = 1)
 SELECT query_id, chunk_id, 0.95::DOUBLE AS score FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = n.query_id AND h.chunk_id = n.chunk_id)""",
     "candidate_merge": """SELECT 1::BIGINT AS query_id, doc_id AS chunk_id, max(score) AS score FROM (SELECT doc_id, n_chars::DOUBLE AS score FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, 700.0::DOUBLE FROM documents WHERE lang = 'en') GROUP BY doc_id""",
@@ -116,17 +118,12 @@ SELECT page_id, host, path, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/
     "link_bfs": f"""WITH RECURSIVE l AS (SELECT DISTINCT {_HOST} AS a, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS b FROM pages), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(node, depth) AS (SELECT min(a), 0::BIGINT FROM l UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node""",
     "email_extract": r"SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}')) AS email FROM documents)",
-    "date_extract": "SELECT * FROM (VALUES (1::BIGINT, '2024-01', '2024-01'), (2, '2024-13-01', '2022-05'), (3, '', ''), (4, '2021-07-09', '2021-07-09'), (5, '2024-00-10', '2020-11-31')) t(id, date, valid_date)",
-    "code_extract": r"""WITH t(id, t) AS (VALUES (1::BIGINT, 'CS101 and EE230A, cs99'), (2, 'no code'), (3, 'SI100B SI100B MATH1112'))
-SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[A-Z]{2,}\d{2,4}[A-Z]?\b'))), ',') AS codes, array_to_string(list_sort(list_distinct(regexp_extract_all(t || ' 2024 2021', '20\d{2}'))), ',') AS years FROM t""",
-    "score_answers": "SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, true), (4, true), (5, false)) t(id, correct)",
     "accuracy_report": "SELECT lang, sum((quality = 1)::INT)::BIGINT AS correct, count(*) AS total, round(avg((quality = 1)::INT), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY lang",
     "left_lookup": "SELECT doc_id, lang, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "semi_multiget": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "contained_terms": """WITH i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM benchmark), iw AS (SELECT item_id, len(ws) AS size, unnest(ws) AS word FROM i),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents)
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN iw USING (word) GROUP BY doc_id, item_id, size HAVING count(*) * 10 >= size * 9""",
-    "llm_rank_apply": "SELECT * FROM (VALUES (1::BIGINT, 12::BIGINT, 1::BIGINT), (1, 10, 2), (1, 11, 3), (2, 20, 1), (2, 21, 2)) t(query_id, chunk_id, rank)",
     "reply_parsers": "SELECT * FROM (VALUES (1::BIGINT, 'CS101|instructor', '', 'answer'), (2, '3|1|9', '3,1', 'search'), (3, 'index'': 2|1', '2,1', 'answer'), (4, 'a b', '', 'search'), (5, 'alpha|beta|gamma', '', 'search'), (6, 'k', '', 'search')) t(id, keywords, ranking, action)",
     "pinned_merge": """WITH f AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE lang = 'de'),
 b AS (SELECT doc_id, n_chars, r <= 2 AS pin, r FROM f WHERE r <= 10 UNION ALL SELECT doc_id, n_chars, false, r FROM s WHERE r <= 10)
@@ -134,10 +131,7 @@ SELECT 1::BIGINT AS query_id, doc_id AS chunk_id, row_number() OVER (ORDER BY pi
     "route_candidates": """WITH q(query_id) AS (VALUES (1::BIGINT), (2)), c AS (SELECT q.query_id, doc_id, (length(text) % 97 / 100.0)::DOUBLE AS quality FROM documents, q WHERE (q.query_id = 1 AND source IN ('src1', 'src2')) OR (q.query_id = 2 AND (source = 'src3' OR lang = 'fr')))
 SELECT query_id, doc_id AS chunk_id, 32.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, doc_id) AS k FROM c) WHERE k <= 15""",
     "persons_inline": "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, '张三', 'San Zhang'), (2, 0, '张三', 'San Zhang'), (2, 1, '李四', 'Si Li'), (3, 0, '', 'Ada Lovelace'), (3, 1, '', 'Alan Turing')) t(id, pos, cjk, latin)",
-    "name_alike": "SELECT * FROM (VALUES ('王小明', '王晓明', true), ('张三', '李四', false), ('欧阳修', '欧阳', true), ('李雷', '李雷', true)) t(a, b, alike)",
-    "search_texts": f"SELECT doc_id, array_to_string({_tokens("concat_ws(chr(10), source, lang, substr(text, 1, 200))")}, ' ') AS search_text FROM documents",
-    "think_split": "SELECT * FROM (VALUES (1::BIGINT, 'a b', 'answer'), (2, '', 'plain'), (3, 'open only', ''), (4, 'x', 'y')) t(id, think, answer)",
-    "multi_key_order": "SELECT doc_id, source, lang, n_chars FROM documents ORDER BY source = 'src1' DESC, lang = 'fr' DESC, n_chars DESC, doc_id LIMIT 40",
+    "search_texts": f"SELECT doc_id, array_to_string({_tokens("concat_ws(chr(10), source, lang, text)")}, ' ') AS search_text FROM documents",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",
@@ -150,3 +144,5 @@ x AS (SELECT id, 0 AS k, 0 AS part, i AS ord, tok AS token FROM (SELECT id, unne
   UNION ALL SELECT id, k, n, i, substr(run, i, n) FROM (SELECT id, k, run, n, unnest(range(1, length(run) - n + 2)) AS i FROM r, (VALUES (1), (2), (3)) v(n)) WHERE n > 1 OR NOT contains('的一是在了和与及或对中为有个们于年月日', substr(run, i, n)))
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY k, part, ord) - 1 AS pos, token FROM x""",
 }
+ORACLE_SQL |= {name: sql for name, (_, sql) in whole.WHOLE.items() if sql}
+ORACLE_SQL["fts_by_category"] = f"WITH {_fts(_ASKED)}, fc AS (SELECT ft.* FROM ft JOIN documents d ON d.doc_id = ft.chunk_id WHERE d.lang IN ('de', 'fr')) {_top('fc', 10)}"

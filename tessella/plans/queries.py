@@ -10,6 +10,7 @@ from ..functions import text as txt
 from ..operators import assist, clean, dedup, evaluate, graph, hop, rank, routes
 from ..sources.stored import scratch
 from ..streaming import events as ev
+from . import whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,27 +205,6 @@ def email_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(txt.matches("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}")).alias("email")).distinct()
 
 
-def date_extract(spark, sf_dir):
-    # Written dates.
-    rows = [(1, "on 2024-1 and 2023/02/30"), (2, "2024.13.01 then 2022年5月"), (3, "none"), (4, "x 2021-07-09"), (5, "2024/00/10, 2020_11_31")]
-    df = spark.createDataFrame(rows, "id long, t string")
-    return df.select("id", extract.date("t").alias("date"), extract.valid_date("t").alias("valid_date"))
-
-
-def code_extract(spark, sf_dir):
-    # Lines with codes.
-    rows = [(1, "CS101 and EE230A, cs99"), (2, "no code"), (3, "SI100B SI100B MATH1112")]
-    df = spark.createDataFrame(rows, "id long, t string")
-    return df.select("id", F.array_join(extract.codes("t"), ",").alias("codes"), F.array_join(extract.years(F.concat("t", F.lit(" 2024 2021"))), ",").alias("years"))
-
-
-def score_answers(spark, sf_dir):
-    # Answers and their targets.
-    rows = [(1, "It is CS101 (4 credits)", "contains_all", [["cs101"], ["4", "four"]]), (2, "No", "contains_any", [["yes"], ["maybe"]]), (3, "Yes", "exact_any", [["no", "yes"]]), (4, "ab 12", "regex", [[r"b\s*1"]]), (5, "x", "contains_all", [["x"], ["y"]])]
-    items = spark.createDataFrame(rows, "id long, answer string, kind string, targets array<array<string>>")
-    return items.withColumn("form", txt.answer_form("answer")).select("id", evaluate.score("answer", "form", "kind", "targets").alias("correct"))
-
-
 def accuracy_report(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     out = evaluate.accuracy(joined.withColumn("ok", F.col("quality") == 1), "ok", ["lang"])
@@ -253,13 +233,6 @@ def contained_terms(spark, sf_dir):
     return hit.filter(F.col("shared") * 10 >= F.col("size") * 9).select("doc_id", "item_id", "shared")
 
 
-def llm_rank_apply(spark, sf_dir):
-    # Candidates and a reply's order.
-    cands = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 20, 1), (2, 21, 2)], "query_id long, chunk_id long, rank int")
-    order = spark.createDataFrame([(1, [3, 9, 3, 1]), (2, [])], "query_id long, indices array<int>")
-    return rank.apply_ranking(cands, order, 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
-
-
 def reply_parsers(spark, sf_dir):
     # Replies of several shapes.
     rows = [(1, '```json\n{"keywords": ["CS101", "instructor"]}\n```'), (2, '[3, 1, 9]'), (3, '{"ranking": [{"index": 2}, "1"]}'), (4, '{"keywords": ["a b", "c'), (5, "alpha, beta; gamma"), (6, '{"action": "search", "query": "x", "keywords": ["k"]}')]
@@ -289,35 +262,10 @@ def persons_inline(spark, sf_dir):
     return df.select("id", F.posexplode(hop.persons("names")).alias("pos", "p")).select("id", F.col("pos").cast("long").alias("pos"), "p.cjk", "p.latin")
 
 
-def name_alike(spark, sf_dir):
-    rows = [("王小明", "王晓明"), ("张三", "李四"), ("欧阳修", "欧阳"), ("李雷", "李雷")]
-    df = spark.createDataFrame(rows, "a string, b string")
-    return df.select("a", "b", hop.alike(F.col("a"), F.col("b")).alias("alike"))
-
-
-def snippets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", txt.snippet("text", txt.query_tokens(F.lit("nation heat the"))).alias("snippet"))
-
-
 def search_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", txt.search_text("source", "lang", "text").alias("search_text"))
 
 
-def think_split(spark, sf_dir):
-    rows = [(1, "<think>a b</think>\nanswer"), (2, "plain"), (3, "<think>open only"), (4, "x</think>y")]
-    df = spark.createDataFrame(rows, "id long, reply string")
-    think, answer = assist.split_thinking("reply")
-    return df.select("id", think.alias("think"), answer.alias("answer"))
-
-
-def multi_key_order(spark, sf_dir):
-    """Ordering by conditions first: documents of a source, then of a language, then by size."""
-    docs = table(spark, sf_dir, "documents")
-    ordered = docs.orderBy((F.col("source") == "src1").desc(), (F.col("lang") == "fr").desc(), F.desc("n_chars"), "doc_id").limit(40)
-    return ordered.select("doc_id", "source", "lang", "n_chars")
-
-
 def event_windows(spark, sf_dir):
     out = ev.tumbling(table(spark, sf_dir, "events"), "1 day")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -344,7 +292,8 @@ QUERIES = {
     for f in (
         tok_ascii_tf, tok_cjk_inline, doc_freq, avg_field_len, bm25f_topk, bm25f_multifield, fts_bm25_topk, dense_topk, vector_norms, rrf_fusion, line_df_blacklist, line_repeat_cap, chunk_windows, chunk_lines, exact_dedup,
         neighbor_expand, candidate_merge, anti_new_hits, per_source_cap, greedy_dedup, lcg_sample, group_report, top_hosts, garbled_filter, quality_score, skip_reason, html_to_text, link_extract, url_normalize, link_bfs,
-        email_extract, date_extract, code_extract, score_answers, accuracy_report, left_lookup, semi_multiget, contained_terms, llm_rank_apply, reply_parsers, pinned_merge, route_candidates, persons_inline, name_alike,
-        snippets, search_texts, think_split, multi_key_order, event_windows, event_sessions, page_titles, running_budget,
+        email_extract, accuracy_report, left_lookup, semi_multiget, contained_terms, reply_parsers, pinned_merge, route_candidates, persons_inline,
+        search_texts, event_windows, event_sessions, page_titles, running_budget,
     )
 }
+QUERIES |= {name: query for name, (query, _) in whole.WHOLE.items()}
