@@ -70,3 +70,26 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, tmp_path, edge_docs):
+    """Nulls in any column, repeated and null ids, very long texts, columns whose names clash, no rows, one class of labels only."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    odd = edge_docs.withColumns({"kept_id": F.lit("k"), "_row": F.lit("r"), "n_chars": F.length("text").cast("long")})
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        path = str(tmp_path / name)
+        docs.write.parquet(f"{path}/documents.parquet")
+        docs.select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{path}/labels.parquet")
+        items.limit(0 if name == "none" else 5).write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, path)
+            assert k == 4 or out.columns == docs.columns
+            before = docs.count()
+            out.write.parquet(f"{path}/{stage_name}")
+            docs = spark.read.parquet(f"{path}/{stage_name}")
+            assert stage_name not in ("quality", "benchmark") or docs.count() == before
+            if name == "none":
+                assert docs.count() == 0
+        if name == "odd":
+            assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} >= {1, 2, 3, 8, 9, 11}
