@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: each stage calls one operator of ``tessella.llm`` on all that its predecessor kept."""
+"""From raw documents to packed training sequences: each stage calls one operator of ``tessella.llm`` on all that its predecessor kept.
+
+In every stage empty tables give empty ones, texts of any length count whole, repeated rows are rows of their own unless
+said otherwise, and columns beyond ``doc_id`` and ``text`` stay as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -14,15 +18,20 @@ from tessella.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. It learns from the labels of the pipeline's own documents."""
+    """Documents that the classifier doesn't reject. It learns from the labels of the pipeline's own documents.
+
+    Null texts are judged like empty ones, null ids like others; without labels of both classes nothing can be told and every document stays.
+    """
     net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), ~crc_mod("doc_id", 5).eqNullSafe(F.lit(0)))
-    return quality_cnn.keep_good(docs, net, threshold=0.3)
+    return docs if net.prior is not None else quality_cnn.keep_good(docs, net, threshold=0.3)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents or more share, but for each line's first occurrence.
 
-    A document that had words and loses all its lines goes: every line of it stays elsewhere.
+    A document that had words and loses all its lines goes: every line of it stays elsewhere. A null text becomes an empty
+    one and stays. The first occurrence is that of the least id; rows without an id only follow others, and where rows repeat
+    the first one's id, each of them keeps the line.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     done = line_dedup(docs, min_docs=10, keep="first", carry=others)
@@ -34,17 +43,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones (five-word shingles, similarity 0.8)."""
+    """One document of each class of similar ones (five-word shingles, similarity 0.8): that of the least id.
+
+    Rows without words, or without an id, stay; of rows that repeat an id, one of each class stays.
+    """
     return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark; null and empty texts and items contain nothing and stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences, at least one of each row; a null text is its end mark alone."""
     return pack(docs, tokenizer_path(), end_id=2, max_tokens=4096)
 
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a local folder only where it is unset."""
+    """``spark.checkpoint.dir``, which driver and executors share; a local folder only where it is unset and all tasks run in this process."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(place)
     return place.rstrip("/")
