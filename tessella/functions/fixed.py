@@ -67,6 +67,15 @@ SOURCE_PRIORITY = {"verified_seed": 7.0, "live_official": 6.2, "local_official_m
 STRUCTURED_CATEGORIES = ("courses", "sist_courses", "courses_clean", "courses_unified", "course_schedule", "course_teacher_map", "prof_courses_full", "faculty_members", "sist_faculty", "faculty", "faculty_merged", "all_faculty", "professors", "professors_clean", "professors_enriched", "contacts", "program_requirements", "program_sources", "program", "events", "news", "leadership", "leadership_roles", "university_overview", "university_contact", "sist_overview", "sist_degree_programs", "sist_news_events", "sist_research")
 COURSE_CATEGORIES = ("courses", "sist_courses", "courses_clean", "courses_unified")
 CONTACT_CATEGORIES = ("contacts", "faculty_members", "sist_faculty", "professors_enriched", "leadership", "leadership_roles")
+# What tells the class of a hit; heads are characters of a text and the words sought there.
+COURSE_EVIDENCE = ("courses", "sist_courses", "courses_clean", "courses_unified", "course_schedule", "course_teacher_map", "prof_courses_full")
+PROFILE_EVIDENCE = ("contacts", "faculty", "faculty_members", "faculty_merged", "all_faculty", "leadership", "leadership_roles", "professors", "professors_clean", "professors_enriched", "program", "sist_faculty")
+TEACHERS_LABEL, CODE_LABEL = "任课教师", "课程代码: "
+LISTING_PATHS, PROFILE_PATHS, PROFILE_TITLES = ("courses", "schedule"), ("faculty", "main.htm"), ("homepage", "主页")
+PROFILE_HEADS = ((1400, ("research interests", "contact me")), (1200, ("个人主页:", "研究方向:", "博士毕业院校:", "邮箱:", "办公室:")))
+AFTER_NAMES = ("博士", "教授", "老师", "导师", "副教授", "研究员", "的")
+
+# Boosts of source tiers and channel weights.
 TIER_BOOST = {"verified_seed": 8.0, "live_official": 5.5, "local_official_mirror": 4.0, "llm_curated": 3.5}
 TIER_QUALITY = {"verified_seed": 0.45, "live_official": 0.36, "local_official_mirror": 0.30, "llm_curated": 0.26}
 RRF_WEIGHTS = {"lexical": 1.0, "structured": 1.15, "dense": 1.0}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, quality
 from ..functions import text as txt
-from ..operators import assist, evaluate, hop, rank, routes
+from ..operators import assist, evaluate, hits, hop, rank, routes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +202,23 @@ def name_alike(spark, sf_dir):
     return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), hop.alike(F.col("a.n_name"), F.col("b.n_name")).alias("alike"))
 
 
+def hit_classes(spark, sf_dir):
+    """Hits of nine shapes around every document, for one code and two persons."""
+    k = F.pmod("doc_id", F.lit(9)).cast("int")
+    leads = ("# cs101 ", "任课教师 CS101, ", "任课教师 课程代码: CS101x ", "任课教师 XCS101 ", "Research Interests: ", "办公室: 1 ", "张三老师 ", "张三丰 ", "by Ada-LOVElace ")
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, leads)), k + 1), "text").alias("text"), "source", "lang")
+    pages = docs.select(
+        "doc_id",
+        "text",
+        F.when(F.col("source") == "src3", "cs101").when(F.col("source") == "src4", "My HomePage").otherwise(F.col("source")).alias("title"),
+        F.when(F.col("lang") == "fr", "https://a.example/Faculty/1").when(F.col("lang") == "de", "https://a.example/courses/1").otherwise("https://a.example/1").alias("url"),
+        F.when(F.col("source") == "src1", "courses").when(F.col("source") == "src2", "contacts").otherwise("web").alias("category"),
+        F.array(F.lit("CS101")).alias("codes"),
+        F.expr("array(named_struct('cjk', '张三', 'latin', ''), named_struct('cjk', '', 'latin', 'Ada Lovelace'))").alias("persons"),
+    )
+    return hits.hit_classes(pages).select("doc_id", "primary_record", "loose_record", "profile", "names_person")
+
+
 def think_split(spark, sf_dir):
     """Replies of eight shapes around every document."""
     text = F.col("text")
@@ -283,6 +300,15 @@ SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 q AS (SELECT 1::BIGINT AS query_id, * FROM c WHERE contains(hay, 'cs101') OR contains(hay, '学分') OR contains(hay, 'nation') UNION ALL SELECT 2, * FROM c WHERE contains(hay, '2024') OR contains(hay, '2025') OR contains(hay, 'office') OR contains(hay, 'heat'))
 SELECT query_id, doc_id AS chunk_id, 20.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (n_chars % 100) DESC, doc_id) AS k FROM q) WHERE k <= 30"""),
     "name_alike": (name_alike, "SELECT a.n_name AS a, b.n_name AS b, a.n_name = b.n_name OR (len(list_intersect(list_distinct(string_split(a.n_name, '')), string_split(b.n_name, ''))) >= 2 AND len(list_intersect(list_distinct(string_split(a.n_name, '')), string_split(b.n_name, ''))) >= least(length(a.n_name), length(b.n_name)) - 1) AS alike FROM nation a JOIN nation b ON a.n_nationkey <= b.n_nationkey"),
+    "hit_classes": (hit_classes, r"""WITH h AS (SELECT doc_id, ['# cs101 ', '任课教师 CS101, ', '任课教师 课程代码: CS101x ', '任课教师 XCS101 ', 'Research Interests: ', '办公室: 1 ', '张三老师 ', '张三丰 ', 'by Ada-LOVElace '][(doc_id % 9 + 1)::INT] || text AS text,
+  CASE source WHEN 'src3' THEN 'cs101' WHEN 'src4' THEN 'My HomePage' ELSE source END AS title, CASE lang WHEN 'fr' THEN 'https://a.example/Faculty/1' WHEN 'de' THEN 'https://a.example/courses/1' ELSE 'https://a.example/1' END AS url,
+  CASE source WHEN 'src1' THEN 'courses' WHEN 'src2' THEN 'contacts' ELSE 'web' END AS category FROM documents),
+t AS (SELECT *, title || chr(10) || text || chr(10) || url AS hay, contains(text, '任课教师') AS taught FROM h)
+SELECT doc_id, (category = 'courses' OR taught) AND (upper(title) = 'CS101' OR contains(text, '课程代码: CS101') OR regexp_matches(text, '(?i)^#\s*cs101\b')) AS primary_record,
+  taught AND regexp_matches(upper(title || chr(10) || text), '(^|[^A-Z0-9])CS101($|[^A-Z0-9])') AS loose_record,
+  category <> 'courses' AND NOT regexp_matches(lower(url), 'courses|schedule') AND (category = 'contacts' OR regexp_matches(lower(url), 'faculty|main[.]htm') OR contains(lower(title), 'homepage') OR contains(title, '主页')
+    OR regexp_matches(lower(substr(text, 1, 1400)), 'research interests|contact me') OR regexp_matches(substr(text, 1, 1200), '(个人主页|研究方向|博士毕业院校|邮箱|办公室):')) AS profile,
+  regexp_matches(hay, '(^|[^\x{4e00}-\x{9fff}])张三($|[^\x{4e00}-\x{9fff}]|博士|教授|老师|导师|副教授|研究员|的)') OR contains(regexp_replace(lower(hay), '[^a-z0-9]+', '', 'g'), 'adalovelace') AS names_person FROM t"""),
     "think_split": (think_split, f"""WITH d AS (SELECT doc_id, doc_id % 8 AS k, {_strip('text')} AS t, source, lang FROM documents)
 SELECT doc_id, CASE WHEN k IN (1, 4, 6) THEN '' ELSE t END AS think, CASE k WHEN 0 THEN source WHEN 1 THEN t WHEN 3 THEN lang || ' </think> x' WHEN 4 THEN {_strip("'思考过程' || text")} WHEN 6 THEN {_strip("'Thinking Process: ' || text")} WHEN 7 THEN source ELSE '' END AS answer FROM (SELECT d.*, text FROM d JOIN documents USING (doc_id))"""),
 }

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import assist, clean, dedup, evaluate, graph, hop, rank, routes, structured
+from tessella.operators import assist, clean, dedup, evaluate, graph, hits, hop, rank, routes, structured
 
 
 def rows(df, *columns):
@@ -223,3 +223,25 @@ def test_years_are_taken_together(spark):
     hits = chunks.select(F.lit(1).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
     got = dict(rows(routes.rule_rerank(hits, chunks, queries, priority={}), "chunk_id", "score"))
     assert {k: round(v - 1, 6) for k, v in got.items()} == {1: 16 + 4 * 0.35, 2: -36.0, 3: -20.5, 4: 24.0}
+
+
+def test_hit_classes(spark):
+    who = [("张三", None), (None, "Ada Lovelace")]
+    many = [
+        (1, "cs101", "任课教师: x", "", "web", ["CS101"], who, (True, True, False, False)),
+        (2, "x", "任课教师 CS101A", "", "web", ["CS101"], who, (False, False, False, False)),
+        (3, "x", "see\n# CS101", "", "courses", ["CS101"], who, (False, False, False, False)),
+        (4, "x", "#CS101课程", "", "courses", ["CS101"], who, (False, False, False, False)),
+        (5, "x", "#cs101 b", "", "courses", ["AB1", "CS101"], who, (True, False, False, False)),
+        (6, "张三丰", "张三教授", "u/FACULTY", "web", [], who, (False, False, True, True)),
+        (7, "张三丰", "王张三", "u/faculty/courses", "web", None, who, (False, False, False, False)),
+        (8, "x", "a" * 1400 + "contact me", "", "web", [], who, (False, False, False, False)),
+        (9, "x", "a" * 9000 + "adalovelace", "", "faculty", ["C.*"], who, (False, False, True, True)),
+        (10, None, None, None, None, None, None, (False, False, False, False)),
+        (11, "x", "Associate Professor, a@some.example", "", "web", [], [("", "--")], (False, False, True, False)),
+    ]
+    shape = "id long, title string, text string, url string, category string, codes array<string>, persons array<struct<cjk: string, latin: string>>"
+    df = spark.createDataFrame([m[:-1] for m in many], shape)
+    got = hits.hit_classes(df, mail_domain="Some.example").collect()
+    assert {r["id"]: (r["primary_record"], r["loose_record"], r["profile"], r["names_person"]) for r in got} == {m[0]: m[-1] for m in many}
+    assert hits.hit_classes(df.limit(0).select("id", "codes", "persons")).count() == 0
