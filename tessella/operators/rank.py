@@ -48,6 +48,16 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.select("token", "chunk_id").distinct().groupBy("token").agg(F.count("*").alias("df"))
 
 
+def row_document_frequency(docs: DataFrame, fields: Sequence[str], wide: bool = False) -> DataFrame:
+    """``token, df`` as ``document_frequency`` of the postings gives them, where each row is a document of its own.
+
+    A row's tokens are made distinct inside it, so no (document, token) pair is shuffled, only each task's counts. Null fields have no tokens.
+    """
+    none = F.array().cast("array<string>")
+    own = F.array_distinct(F.concat(*[F.coalesce(tokens(f, wide), none) for f in fields]))
+    return docs.select(F.explode(own).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def query_terms(queries: DataFrame, wide: bool = False, most: int | None = None) -> DataFrame:
     """``query_id, token, qtf``; ``most``: of each query the longest distinct terms only, each once."""
     if most:

@@ -40,7 +40,7 @@ def tok_cjk_inline(spark, sf_dir):
 
 
 def doc_freq(spark, sf_dir):
-    return rank.document_frequency(rank.postings(documents(spark, sf_dir), ["text", "source"]))
+    return rank.row_document_frequency(documents(spark, sf_dir), ["text", "source"])
 
 
 def avg_field_len(spark, sf_dir):

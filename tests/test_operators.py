@@ -245,3 +245,10 @@ def test_hit_classes(spark):
     got = hits.hit_classes(df, mail_domain="Some.example").collect()
     assert {r["id"]: (r["primary_record"], r["loose_record"], r["profile"], r["names_person"]) for r in got} == {m[0]: m[-1] for m in many}
     assert hits.hit_classes(df.limit(0).select("id", "codes", "persons")).count() == 0
+
+
+def test_document_frequencies_by_row_and_by_postings(spark):
+    docs = spark.createDataFrame([(1, "ab cd ab", "cd"), (2, None, "cd ef"), (3, "", None), (4, "ab cd ab", "cd")], "chunk_id long, text string, title string")
+    by_row = rank.row_document_frequency(docs, ["text", "title"])
+    assert rows(by_row, "token", "df") == rows(rank.document_frequency(rank.postings(docs, ["text", "title"])), "token", "df") == [("ab", 2), ("cd", 3), ("ef", 1)]
+    assert rank.row_document_frequency(docs.limit(0), ["text"]).count() == 0
