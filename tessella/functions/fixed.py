@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 # Characters of the mixed-script tokeniser.
 ASCII_TOKEN = r"[a-zA-Z][a-zA-Z0-9_+#.-]*|\d+(?:\.\d+)?"
 ASCII_TOKEN_WIDE = r"[a-zA-Z][a-zA-Z0-9_+#.@/-]*|\d+(?:\.\d+)?"
+INDEX_PART = r"[\p{L}\p{N}]+"
 CJK_RUN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"
 CJK_STOP = "的一是在了和与及或对中为有个们于年月日"
 

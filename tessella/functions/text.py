@@ -88,6 +88,11 @@ def query_tokens(c, wide: bool = False) -> Column:
     return F.array_distinct(F.filter(tokens(c, wide), lambda x: F.length(x) >= 2))
 
 
+def text_parts(c, wide: bool = False) -> Column:
+    """The runs of letters and digits in a text's tokens: what an index makes of them that splits at all other characters."""
+    return matches(F.array_join(tokens(c, wide), " "), fixed.INDEX_PART)
+
+
 def match_terms(c, most: int = 48, wide: bool = False, least: int = 1) -> Column:
     """Distinct tokens from the longest (equal lengths: last in order first), at most ``most``."""
     found = F.filter(F.array_distinct(tokens(c, wide)), lambda x: F.length(x) >= least)

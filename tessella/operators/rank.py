@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import col, tokens
+from ..functions.text import col, matches, text_parts, tokens
 
 #: Distinct query terms, and query vectors in one block, that may be broadcast.
 MOST_TERMS, MOST_VECTORS = 100_000, 4096
@@ -23,6 +23,23 @@ def top_k(rows: DataFrame, k: int, by: Sequence[str] = ("query_id",), order: Seq
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def within_budget(rows: DataFrame, size: str, budget: int, by: Sequence[str], order: Sequence[str], used: str = "used") -> DataFrame:
+    """Rows of each group, in ascending ``order``, as long as their sizes (whole numbers; null is 0) add up to ``budget`` at most; ``used`` is the sum.
+
+    Of rows with a size no more than ``budget + 1`` of a group can matter, so no task takes a whole group; rows without one
+    come only from before the place where the budget ends. A total order makes the result one.
+    """
+    columns = [F.col(c) for c in order]
+    window = Window.partitionBy(*by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0)
+    sized = F.coalesce(F.col(size), F.lit(0))
+    running = F.sum(sized).over(window)
+    place, end = (f"_{name}_{'_'.join(rows.columns)}" for name in ("place", "end"))
+    lead = top_k(rows.filter(sized > 0), budget + 1, by, columns, place).drop(place)
+    ends = lead.withColumn(used, running).filter(F.col(used) > budget).groupBy(*by).agg(F.min(F.struct(*order)).alias(end))
+    free = rows.filter(sized == 0).join(ends, list(by), "left").filter(F.col(end).isNull() | (F.struct(*order) < F.col(end))).select(*rows.columns)
+    return lead.union(free).withColumn(used, running).filter(F.col(used) <= budget)
+
+
 # the inverted index
 
 
@@ -31,12 +48,27 @@ def postings(docs: DataFrame, fields: Sequence[str], id_col: str = "chunk_id", w
     parts = []
     for f in fields:
         words = docs.select(F.col(id_col).alias("chunk_id"), F.sort_array(tokens(f, wide)).alias("toks"))
-        starts = words.withColumn("starts", F.expr("filter(transform(toks, (t, i) -> if(i > 0 AND t = get(toks, i - 1), null, i)), i -> i is not null)"))
-        runs = starts.select("chunk_id", F.size("toks").cast("long").alias("len"), F.explode(F.expr("transform(starts, (s, k) -> struct(toks[s] AS token, cast(coalesce(get(starts, k + 1), size(toks)) - s AS long) AS tf))")).alias("run"))
-        parts.append(runs.select("chunk_id", F.lit(f).alias("field"), "run.token", "run.tf", "len"))
+        runs = _runs(words.withColumn("len", F.size("toks").cast("long")))
+        parts.append(runs.select("chunk_id", F.lit(f).alias("field"), "token", "tf", "len"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _runs(words: DataFrame) -> DataFrame:
+    """``chunk_id, token, tf, len`` of rows ``chunk_id, toks`` (sorted), ``len``."""
+    starts = words.withColumn("starts", F.expr("filter(transform(toks, (t, i) -> if(i > 0 AND t = get(toks, i - 1), null, i)), i -> i is not null)"))
+    run = F.expr("transform(starts, (s, k) -> struct(toks[s] AS token, cast(coalesce(get(starts, k + 1), size(toks)) - s AS long) AS tf))")
+    return starts.select("chunk_id", F.explode(run).alias("run"), "len").select("chunk_id", "run.token", "run.tf", "len")
+
+
+def phrase_postings(docs: DataFrame, lengths: Sequence[int], text_col: str = "text", id_col: str = "chunk_id", wide: bool = False) -> DataFrame:
+    """``chunk_id, token, tf, len``: every phrase of so many adjacent parts (``text_parts``), joined by spaces; ``len`` counts parts. Counted inside a row, like ``postings``."""
+    words = docs.select(F.col(id_col).alias("chunk_id"), text_parts(text_col, wide).alias("parts"))
+    size = F.size("parts")
+    phrase = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("parts", i, F.lit(n)), " "))
+    of = [F.col("parts") if n == 1 else F.when(size >= n, phrase(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    return _runs(words.select("chunk_id", F.sort_array(F.concat(*of)).alias("toks"), size.cast("long").alias("len")))
+
+
 def field_stats(docs: DataFrame, fields: Sequence[str], wide: bool = False) -> DataFrame:
     """``field, n_docs, avg_len``."""
     parts = [docs.select(F.lit(f).alias("field"), F.size(tokens(f, wide)).alias("len")) for f in fields]
@@ -96,13 +128,33 @@ def bm25f(docs: DataFrame, queries: DataFrame, weights: Mapping[str, float] = fi
 def fts_bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id", categories: Sequence[str] | None = None) -> DataFrame:
     """``query_id, chunk_id, score`` of a full-text search: one field, inverse frequency never below 1e-6; frequencies are of all documents, whatever ``categories`` lets through."""
     terms = query_terms(queries, wide, most_terms)
-    (posted, small), stats = _only(postings(docs, [text_col], id_col, wide), terms), field_stats(docs, [text_col], wide)
+    return _full_text(docs, postings(docs, [text_col], id_col, wide), field_stats(docs, [text_col], wide), terms, k1, b, id_col, categories)
+
+
+def fts_phrases(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id", categories: Sequence[str] | None = None) -> DataFrame:
+    """``fts_bm25`` as an index has it that splits the tokens again: at all but letters and digits, so ``3.14`` is ``3`` and ``14``.
+
+    A query's token of several parts is a phrase, found where its parts follow each other, across tokens too; tokens with
+    the same parts count each. Texts without parts are not in the index and count nowhere. Only phrases of the lengths
+    that the queries have are made, and only the queries' own are shuffled.
+    """
+    phrase = F.array_join(matches("token", fixed.INDEX_PART), " ")
+    terms = query_terms(queries, wide, most_terms).select("query_id", phrase.alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    # as many rows as there are lengths of single tokens
+    lengths = sorted(r[0] for r in terms.select(F.size(F.split("token", " "))).distinct().collect()) or [1]
+    sized = docs.select(F.size(text_parts(text_col, wide)).alias("len")).filter("len > 0")
+    stats = sized.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len"))
+    return _full_text(docs, phrase_postings(docs, lengths, text_col, id_col, wide), stats, terms, k1, b, id_col, categories)
+
+
+def _full_text(docs: DataFrame, posted: DataFrame, stats: DataFrame, terms: DataFrame, k1: float, b: float, id_col: str, categories: Sequence[str] | None) -> DataFrame:
+    posted, small = _only(posted, terms)
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
     scored = posted.join(small(df), "token").join(terms, "token").join(F.broadcast(stats.select("n_docs", "avg_len")))
     if categories:
         scored = scored.join(docs.filter(F.col("category").isin(list(categories))).select(F.col(id_col).alias("chunk_id")), "chunk_id", "left_semi")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    return scored.groupBy("query_id", "chunk_id").agg(F.sum(idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))).alias("score"))
+    return scored.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))).alias("score"))
 
 
 def boosted_bm25(docs: DataFrame, queries: DataFrame, boosts: Mapping[str, float] | None = None, **how) -> DataFrame:

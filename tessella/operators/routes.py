@@ -78,28 +78,26 @@ def _holds(chunk_text: Column, wanted: Column) -> Column:
     return F.exists(wanted, lambda w: F.contains(chunk_text, F.lower(w)))
 
 
-def _joined(chunks: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every chunk against every query of a stated set, in one scan: the queries are one broadcast array (size checked)."""
-    rows = queries.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries in one set; give them in blocks")
-    held = queries.sparkSession.createDataFrame(rows, queries.schema).select(F.struct(*queries.columns).alias("q")).groupBy().agg(F.collect_list("q").alias("qs"))
-    return chunks.join(F.broadcast(held))
-
-
-def _candidates(chunks: DataFrame, queries: DataFrame, condition, score: float, k: int, order: Sequence[Column] = ()) -> DataFrame:
-    hit = _joined(chunks, queries).select(*chunks.columns, F.explode(F.filter("qs", condition)).alias("q"))
-    ranked = top_k(hit.withColumn("query_id", F.col("q.query_id")), k, order=[*order, F.desc("quality"), F.col("chunk_id")])
-    return ranked.select("query_id", "chunk_id", F.lit(float(score)).alias("score"))
-
-
-def exact_candidates(chunks: DataFrame, queries: DataFrame, k: int = 40, score: float = 20.0) -> DataFrame:
+def _candidates(chunks: DataFrame, queries: DataFrame, condition, score: float, k: int, order: Sequence[Column] = (), most: int = 10_000) -> DataFrame:
+    """Every chunk against every query of a stated set: about ``most`` queries are one broadcast array, each such block one scan of the chunks."""
+    count = max(1, -(-queries.count() // most))
+    found = []
+    for n in range(count):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == n) if count > 1 else queries
+        held = block.select(F.struct(*queries.columns).alias("q")).groupBy().agg(F.collect_list("q").alias("qs"))
+        hit = chunks.join(F.broadcast(held)).select(*chunks.columns, F.explode(F.filter("qs", condition)).alias("q"))
+        ranked = top_k(hit.withColumn("query_id", F.col("q.query_id")), k, order=[*order, F.desc("quality"), F.col("chunk_id")])
+        found.append(ranked.select("query_id", "chunk_id", F.lit(float(score)).alias("score")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def exact_candidates(chunks: DataFrame, queries: DataFrame, k: int = 40, score: float = 20.0, most: int = 10_000) -> DataFrame:
     """Chunks that hold one of a query's codes, e-mails, entities, years or names; best quality first, one score for all.
 
     ``chunks``: ``chunk_id, title, text, url, date, quality``; ``queries`` as ``parsed`` gives them.
     """
     hay = F.lower(F.concat_ws("\n", "title", "text", "url", "date"))
-    return _candidates(chunks, queries, lambda q: reduce(lambda a, b: a | b, (_holds(hay, q[f]) for f in FIELDS)), score, k)
+    return _candidates(chunks, queries, lambda q: reduce(lambda a, b: a | b, (_holds(hay, q[f]) for f in FIELDS)), score, k, most=most)
 
 
 def routed_candidates(chunks: DataFrame, queries: DataFrame, routes: Sequence[Route], k: int = 80, score: float = 32.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunk, extract, quality
@@ -283,8 +283,7 @@ def page_titles(spark, sf_dir):
 def running_budget(spark, sf_dir):
     """Ranked hits of each source under a running budget of characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("used", used).filter("used <= 7200")
+    return rank.within_budget(docs, "n_chars", 7200, ["source"], ["doc_id"])
 
 
 QUERIES = {

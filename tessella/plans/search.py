@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import query_tokens, snippet
+from ..functions.text import query_tokens, snippet, strip
 from ..operators import assist, dedup, hop, rank
 from ..operators import routes as rules
-from ..sources.stored import scratch
+from ..sources.stored import build_once, scratch
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,23 @@ class SearchConfig:
 
 
 class KeywordIndex:
-    """BM25F over the columns of ``fields``: postings and statistics are written once and reused by every search."""
+    """BM25F over the columns of ``weights``: postings and statistics are written once and reused by every search.
 
-    def __init__(self, docs: DataFrame, id_col: str = "chunk_id", weights: Mapping[str, float] = fixed.BM25F_WEIGHTS, b: Mapping[str, float] = fixed.BM25F_B, k1: float = 1.5):
+    With ``path`` they stay there, with their metadata (``meta`` and what the index is made of) as the mark of a finished
+    build; they are made again where that mark is missing or differs, or on ``rebuild``. ``limit``: only the chunks of
+    the least ids, for a trial.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "chunk_id", weights: Mapping[str, float] = fixed.BM25F_WEIGHTS, b: Mapping[str, float] = fixed.BM25F_B, k1: float = 1.5, path: str | None = None, meta: Mapping | None = None, limit: int | None = None, rebuild: bool = False):
+        docs = docs if limit is None else docs.orderBy(id_col).limit(limit)
         self.docs, self.id_col, self.weights, self.b, self.k1 = docs, id_col, weights, b, k1
-        self.posted = scratch(rank.postings(docs, list(weights), id_col), "postings")
-        self.stats = scratch(rank.field_stats(docs, list(weights)), "field-stats")
+        tables = {"postings": rank.postings(docs, list(weights), id_col), "field-stats": rank.field_stats(docs, list(weights))}
+        if path is None:
+            self.built = True
+            self.posted, self.stats = (scratch(t, name) for name, t in tables.items())
+        else:
+            self.built = build_once(tables, path, {**(meta or {}), "id": id_col, "fields": list(weights), "limit": limit}, rebuild)
+            self.posted, self.stats = (docs.sparkSession.read.parquet(f"{path}/{name}") for name in tables)
 
     def search(self, queries: DataFrame, top_k: int = 5, categories: Sequence[str] | None = None, deduplicate: bool = True, expand: bool = False, expansions=fixed.EXPANSIONS) -> DataFrame:
         """``query_id, chunk_id, score, rank, snippet``."""
@@ -99,6 +110,22 @@ class HybridIndex:
         ranked = rank.apply_ranking(picked.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank")), order, c.top_k)
         return picked.drop("rank").join(ranked, ["query_id", "chunk_id"])
 
+    def planned_search(self, queries: DataFrame, pool: int | None = None) -> DataFrame:
+        """``query_id, chunk_id, rank``: up to ``pool`` hits of ``query_id, query, planned``, where ``planned`` is a query that was made of the asked one.
+
+        Where the two differ (case and outer white space aside), both are searched, twice as deep, and merged: the asked
+        query's first hits stay first. An empty or null one counts as the other; where both are, nothing is found.
+        """
+        k = pool or self.config.top_k
+        plain = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
+        both = queries.select("query_id", plain("query").alias("query"), plain("planned").alias("planned"))
+        both = both.withColumn("planned", F.when(F.col("planned") == "", F.col("query")).otherwise(F.col("planned"))).filter("planned <> ''")
+        two = (F.col("query") != "") & (F.lower("query") != F.lower("planned"))
+        deep, flat = (HybridIndex(self.chunks, self.vectors, replace(self.config, top_k=n)) for n in (max(2 * k, 12), k))
+        asked, planned = (deep.search(both.filter(two).select("query_id", F.col(c).alias("query"))) for c in ("query", "planned"))
+        single = flat.search(both.filter(~two).select("query_id", F.col("planned").alias("query")))
+        return rank.pinned_merge(asked, planned, k).select("query_id", "chunk_id", "rank").unionByName(single.select("query_id", "chunk_id", "rank"))
+
     def with_profiles(self, queries: DataFrame, hits: DataFrame, record_names: DataFrame) -> DataFrame:
         """Hits of each query with the pages of the persons its records name (``record_names``: ``query_id, names``)."""
         people = hop.hop(record_names, self.chunks.withColumn("score", F.coalesce("quality", F.lit(0.0))), self.config.top_k)

@@ -33,6 +33,8 @@ def _tokens(c: str) -> str:
     return f"regexp_extract_all(lower({c}), '{_WORD}')"
 
 
+#: Letters and digits that follow each other in a text.
+_PARTS = r"regexp_extract_all(%s, '[\p{L}\p{N}]+')"
 #: Each document's tokens with their places.
 _PLACED = f"p AS (SELECT doc_id, unnest({_tokens('text')}) AS t, unnest(range(len({_tokens('text')}))) AS i FROM documents)"
 
@@ -172,6 +174,18 @@ def fts_by_category(spark, sf_dir):
     return rank.top_k(scored.withColumn("score", F.round("score", 6)), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# Queries with tokens of several parts.
+_PHRASED = "(VALUES (1::BIGINT, 'the nation of example.org'), (2, 'heat.tion that-with c++ c'), (3, 'des-les de_la. de.la et'))"
+
+
+def fts_phrases(spark, sf_dir):
+    """Full-text search whose index splits tokens again: tokens of several parts are phrases."""
+    queries = spark.createDataFrame([(1, "the nation of example.org"), (2, "heat.tion that-with c++ c"), (3, "des-les de_la. de.la et")], "query_id long, query string")
+    docs = _docs(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
+    scored = rank.fts_phrases(docs, queries).withColumn("score", F.round("score", 6))
+    return rank.top_k(scored, 50).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _chunks(spark, sf_dir) -> DataFrame:
     category = F.when(F.col("source") == "src1", "courses").when(F.col("source") == "src2", "contacts").otherwise("web")
     kind = F.when(F.col("lang") == "en", "pdf_md").when(F.col("lang") == "de", "training").otherwise("other")
@@ -295,6 +309,13 @@ b AS (SELECT query_id, chunk_id, min(k) AS k FROM (SELECT query_id, chunk_id, r
 SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM b) WHERE rank <= 12"""),
     "multi_key_order": (multi_key_order, "SELECT doc_id, source, lang, n_chars FROM documents ORDER BY source = 'src1' DESC, lang = 'fr' DESC, n_chars DESC, doc_id LIMIT 40"),
     "fts_by_category": (fts_by_category, None),
+    "fts_phrases": (fts_phrases, rf"""WITH q(query_id, query) AS {_PHRASED}, d AS (SELECT doc_id, {_PARTS % f"array_to_string({_tokens('text')}, ' ')"} AS parts FROM documents),
+st AS (SELECT count(*)::DOUBLE AS n, sum(len(parts))::DOUBLE / count(*) AS avg_len FROM d WHERE len(parts) > 0),
+qt AS (SELECT query_id, array_to_string({_PARTS % 'token'}, ' ') AS phrase, count(*) AS qtf FROM (SELECT DISTINCT query_id, unnest({_tokens('query')}) AS token FROM q) GROUP BY ALL),
+g AS (SELECT doc_id, len(parts) AS len, unnest(parts) AS phrase FROM d UNION ALL SELECT doc_id, len(parts), unnest(list_transform(range(1, len(parts)), lambda i: parts[i] || ' ' || parts[i + 1])) FROM d),
+p AS (SELECT doc_id, phrase, any_value(len) AS len, count(*) AS tf FROM g SEMI JOIN qt USING (phrase) GROUP BY doc_id, phrase), df AS (SELECT phrase, count(*)::DOUBLE AS df FROM p GROUP BY phrase),
+s AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS score FROM p JOIN df USING (phrase) JOIN qt USING (phrase) CROSS JOIN st GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50"""),
     "rule_rerank": (rule_rerank, _rule_sql()),
     "exact_candidates": (exact_candidates, r"""WITH c AS (SELECT doc_id, n_chars, lower(source || chr(10) || CASE source WHEN 'src1' THEN '课程代码: CS101 ' WHEN 'src2' THEN 'XCS101 of 2023 ' WHEN 'src3' THEN 'see CS101, 2024 ' ELSE '' END || text || chr(10) || chr(10) || CASE WHEN lang = 'fr' THEN '2024-05' ELSE '' END) AS hay FROM documents),
 q AS (SELECT 1::BIGINT AS query_id, * FROM c WHERE contains(hay, 'cs101') OR contains(hay, '学分') OR contains(hay, 'nation') UNION ALL SELECT 2, * FROM c WHERE contains(hay, '2024') OR contains(hay, '2025') OR contains(hay, 'office') OR contains(hay, 'heat'))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -50,6 +51,59 @@ def open_store(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def committed(spark: SparkSession, path: str) -> dict | None:
+    """The metadata of the finished build at ``path``, None where none was finished."""
+    if not exists(spark, f"{path}/committed/_SUCCESS"):
+        return None
+    return json.loads(spark.read.text(f"{path}/committed").first()[0])
+
+
+def commit(spark: SparkSession, path: str, meta: Mapping) -> None:
+    """Mark what stands at ``path`` as whole."""
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/committed")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def build_once(tables: Mapping[str, DataFrame], path: str, meta: Mapping, rebuild: bool = False) -> bool:
+    """Write ``tables`` and then their metadata, unless a finished build with such metadata is there and ``rebuild`` isn't asked; whether they were written.
+
+    A build that ended early has no mark and is made again. ``tables`` must not read from ``path``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    old = committed(spark, path)
+    if old is not None and not rebuild and not is_stale(old, json.loads(json.dumps(meta))):
+        return False
+    remove(spark, f"{path}/committed")
+    save_store(tables, path)
+    commit(spark, path, meta)
+    return True
+
+
+def add_vectors(vectors: DataFrame, path: str, key: str = "chunk_id", last: bool = True) -> int:
+    """Append the vectors that the index at ``path`` lacks; ``last``: they are all there now. The number of vectors appended."""
+    spark = vectors.sparkSession
+    remove(spark, f"{path}/committed")
+    n = add_missing(vectors, f"{path}/vectors", key)
+    if last:
+        commit(spark, path, {"rows": spark.read.parquet(f"{path}/vectors").count()})
+    return n
+
+
+def open_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors of a finished index; an error where it is unfinished or holds other than its number of rows."""
+    meta = committed(spark, path)
+    if meta is None:
+        raise ValueError(f"the vector index at {path} is not finished")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if (n := vectors.count()) != meta["rows"]:
+        raise ValueError(f"the vector index at {path} has {n} rows of {meta['rows']}")
+    return vectors
+
+
 def chunk_view(chunks: DataFrame) -> DataFrame:
     """Chunks of either store under one set of names (the second store has source_tier, source_url and quality)."""
     old = {"source_tier": "source_type", "source_url": "url", "quality": "quality_score", "source_kind": "kind", "source_path": "path", "id": "chunk_id"}
