@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from . import fixed
-from .text import col, contains_any, cut, lines, matches, strip
+from .text import col, contains_any, cut, lines, matches, strip, tokens
 
 
 def codes(c, pattern: str = fixed.COURSE_CODE, group: int = 0) -> Column:
@@ -50,6 +50,53 @@ def names(c, stop: Sequence[str] = (), most: int = 5) -> Column:
     return F.slice(F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)).cast("array<string>")), 1, most)
 
 
+def _maximal(values: Column) -> Column:
+    """Values that lie in no other, in order of arrival: one that an earlier one holds is left out, earlier ones that it holds go. Those not of 2 to 24 characters only make others go."""
+
+    def add(kept: Column, v: Column) -> Column:
+        covered = F.exists(kept, lambda e: F.contains(e, v) | (F.lower(e) == F.lower(v)))
+        others = F.filter(kept, lambda e: ~F.contains(v, e))
+        return F.when(covered, kept).when(F.length(v).between(2, 24), F.concat(others, F.array(v))).otherwise(others)
+
+    return F.aggregate(values, F.array().cast("array<string>"), add)
+
+
+def topics(c, places: Sequence[str] = (), known: Sequence[str] = (), stop: Sequence[str] = fixed.TOPIC_STOP, latin_stop: Sequence[str] = fixed.TOPIC_LATIN_STOP, most: int = 8) -> Column:
+    """Topics that a question names, at most ``most``: those its wording marks, or else its tokens.
+
+    ``places``: names that may stand between a topic and a person's role; ``known``: topics that pass whatever they are
+    made of. Null and empty questions have none.
+    """
+    c = F.coalesce(col(c), F.lit(""))
+    among = lambda x, words: x.isin(list(words)) if words else F.lit(False)
+    named = "的?" + (f"(?:{'|'.join(rf'\Q{p}\E' for p in places)})?" if places else "")
+
+    def bare(x: Column) -> Column:
+        for pattern in (f"(?s)(?:{'|'.join(fixed.TOPIC_BREAKS)}).*$", fixed.TOPIC_LEAD, f"(?i){named}$", r"(?U)[，。？?、；;：:\s]+$"):
+            x = F.regexp_replace(strip(x) if pattern.startswith("(?s)") else x, pattern, "")
+        return x
+
+    def good(x: Column) -> Column:
+        return (x != "") & ~among(F.lower(x), stop) & ~among(x, fixed.TOPIC_NONE) & (~x.rlike(f"[{fixed.TOPIC_CHARS}]") | among(x, known))
+
+    of = lambda found: F.slice(_maximal(F.filter(F.transform(found, bare), good)), 1, most)
+    before, asked = fixed.TOPIC_PATTERNS
+    marked = of(F.concat(matches(c, before, 1), matches(c, asked % named, 1)))
+    plain = F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~among(F.lower(t), stop) & F.when(t.rlike(r"^[\x{4e00}-\x{9fff}]+$"), (F.length(t) <= 4) | among(t, known)).otherwise(~among(F.lower(t), latin_stop)))
+    return F.when(F.size(marked) > 0, marked).otherwise(of(plain))
+
+
+def expanded_topics(c, expansions: Mapping[str, Sequence[str]], most: int = 18, **how) -> Column:
+    """Topics, each followed by what ``expansions`` has for it, each value once in any case."""
+    found = topics(c, known=tuple(expansions), **how)
+    if not expansions:
+        return F.slice(found, 1, most)
+    more = F.create_map(*[x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    values = F.flatten(F.transform(found, lambda t: F.concat(F.array(t), F.coalesce(more[t], F.array().cast("array<string>")))))
+    first = F.filter(values, lambda v, i: F.array_position(F.transform(values, F.lower), F.lower(v)) == i + 1)
+    return F.slice(first, 1, most)
+
+
 def first_number(c) -> Column:
     return F.nullif(F.regexp_extract(col(c), r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
 

@@ -57,6 +57,14 @@ FIELD_LABELS = {"email": "邮箱 email", "phone": "电话 phone", "office": "办
 ROW_LABELS = {"school": "学院/单位", "name": "姓名", "name_en": "英文名", "title": "职称/标题", "role": "职务", "faculty_category": "教师类别", "category": "类别", "research_area": "研究方向", "email": "邮箱", "phone": "电话", "office": "办公室", "homepage": "主页", "profile_url": "个人主页", "course_code": "课程代码", "code": "课程代码", "course_name": "课程名称", "name_cn": "课程名称", "course_name_en": "英文课程名", "credits": "学分", "hours": "学时", "term": "学期", "semester": "学期", "instructor": "任课教师", "teacher": "任课教师", "teachers": "任课教师", "program_name": "项目/专业", "program": "项目/专业", "cohort": "年级", "degree": "学位层次", "requirement_type": "要求类型", "requirement_text": "要求", "min_credits": "最低学分", "event_type": "事件类型", "event_date": "事件日期", "published_at": "发布日期", "source_url": "来源 URL", "url": "URL", "evidence": "证据片段"}
 
 # Words of a query that carry no search term.
+# Topics in questions: what stands before and behind one, what is cut off it, and what is none.
+TOPIC_PATTERNS = (r"([\x{4e00}-\x{9fff}A-Za-z0-9+#.\- ]{2,24}?)(?:方向|领域|课题)", r"(?i)(?:想|要)?(?:找|做|研究|关注|从事)(?:研究)?([\x{4e00}-\x{9fff}A-Za-z0-9+#.\-、与及和 ]{2,32}?)(?:%s(?:老师|教师|导师|教授)|[，。？?])")
+TOPIC_LEAD = r"^(?:我)?(?:想|要)?(?:做|找|研究|关注|有关|关于|适合|联系|推荐)+"
+TOPIC_BREAKS = ("导师", "老师", "教授", "研究方向", "研究兴趣")
+TOPIC_STOP = ("我想", "想做", "做机", "方向", "哪些", "导师", "可以", "推荐", "有哪", "老师", "教授", "教师", "研究", "领域", "课题", "个人", "主页", "邮箱", "办公室", "faculty", "advisor", "supervisor", "mentor", "research", "interests", "area", "areas")
+TOPIC_NONE = ("如果", "是否", "匹配", "合适", "适合", "可以", "老师", "教师", "导师", "教授")
+TOPIC_CHARS = "我想做究方向导师推荐可以哪些"
+TOPIC_LATIN_STOP = ("about", "assistant", "campus", "course", "courses", "faculty", "homepage", "information", "instructor", "overview", "profile", "research", "school", "student", "students", "teacher", "university")
 GENERIC_TERMS = ("请问", "告诉我", "帮我查", "查询", "一下", "about", "tell me", "introduce", "introduction")
 EXPANSIONS = {"课程": ("course", "courses"), "任课老师": ("instructor", "teacher", "lecturer", "授课教师"), "老师": ("instructor", "teacher", "professor", "教师"), "导师": ("advisor", "supervisor", "professor", "faculty", "研究方向"), "学分": ("credit", "credits"), "毕业": ("graduation", "graduate"), "培养方案": ("degree program", "program requirements"), "邮箱": ("email", "mail"), "邮件": ("email", "mail"), "电话": ("phone", "tel"), "办公室": ("office",), "讲座": ("lecture", "talk", "seminar", "卓越讲座")}
 

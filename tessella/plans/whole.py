@@ -101,6 +101,13 @@ def code_extract(spark, sf_dir):
     return named.select("p_partkey", F.array_join(extract.codes("t"), ",").alias("codes"), F.array_join(extract.years("t"), ",").alias("years"), extract.first_number("t").alias("number"))
 
 
+def topic_terms(spark, sf_dir):
+    """Topics of questions made of each document's language and source."""
+    k, lang, source = F.col("doc_id") % 5, F.col("lang"), F.col("source")
+    question = F.when(k == 0, F.concat(F.lit("我想做"), lang, F.lit("方向"))).when(k == 1, F.concat(F.lit("研究"), source, F.lit("的学院老师"))).when(k == 2, F.concat(lang, F.lit(" "), source)).when(k == 3, F.concat(F.lit("research "), source, F.lit("a "), source))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(extract.expanded_topics(question, {"en": ("english", "EN"), "fr": ("french",)}, places=("学院",)), "|").alias("topics"))
+
+
 def url_forms(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extract.file_name("url").alias("file"), extract.source_key("url", F.lit("")).alias("key"), extract.source_key(F.lit(""), "url").alias("path_key"))
 
@@ -289,6 +296,7 @@ SELECT token, sum(n)::BIGINT AS n FROM x GROUP BY token"""),
     "date_extract": (date_extract, "WITH e AS (SELECT event_id % 4 AS k, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month FROM events), d AS (SELECT CASE k WHEN 1 THEN month WHEN 3 THEN '2024-13-01' ELSE day END AS date, CASE k WHEN 1 THEN month ELSE day END AS valid_date FROM e) SELECT date, valid_date, count(*) AS n FROM d GROUP BY ALL"),
     "code_extract": (code_extract, r"""WITH t AS (SELECT p_partkey, 'CS' || p_partkey % 1000 || ', MATH' || p_size + 1000 || 'A x20' || p_partkey % 90 + 10 || ' see CS101' AS t FROM part)
 SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[A-Z]{2,}\d{2,4}[A-Z]?\b'))), ',') AS codes, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '20\d{2}'))), ',') AS years, regexp_extract(t, '-?\d+(?:\.\d+)?')::DOUBLE AS number FROM t"""),
+    "topic_terms": (topic_terms, "WITH t AS (SELECT doc_id, doc_id % 5 AS k, source, lang || CASE lang WHEN 'en' THEN '|english' WHEN 'fr' THEN '|french' ELSE '' END AS l FROM documents) SELECT doc_id, CASE k WHEN 0 THEN l WHEN 1 THEN source WHEN 2 THEN l || '|' || source WHEN 3 THEN source || 'a' ELSE '' END AS topics FROM t"),
     "url_forms": (url_forms, r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '[^A-Za-z0-9._/-]+', '_', 'g') AS p, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)
 SELECT page_id, replace(host, ':', '_') || '/' || CASE WHEN p = '' THEN 'index' ELSE p END || CASE WHEN q <> '' THEN '_' || substr(md5(q), 1, 8) ELSE '' END AS file,
   CASE WHEN coalesce(url, '') <> '' THEN 'url:' || lower(regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) ELSE 'path:' END AS key, 'path:' || lower(regexp_replace(regexp_replace(url, '#chunk=\d+.*$', ''), '/+$', '')) AS path_key FROM u"""),

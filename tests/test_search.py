@@ -89,3 +89,17 @@ def test_planned_search_keeps_the_asked_querys_first_hits(spark):
     assert set(found) == {1, 2, 3, 5} and found[2] == found[3] and len(found[1]) == len(set(found[1])) <= 6
     assert set(found[1][:2]) <= set(range(4)) and set(found[1]) & set(range(4, 8))
     assert set(found[2]) == set(range(8, 12)) and set(found[5]) == set(range(4, 8))
+
+
+@pytest.mark.parametrize(
+    "query,want",
+    [
+        ("想找机器人方向的导师", ["机器人"]), ("哪位教授研究computer vision和graphics？", ["computer vision和graphics"]), ("我要找做分布式存储的学院老师", ["分布式存储"]),
+        ("robot arm", ["robot", "arm"]), ("vision visions", ["visions"]), ("visions Vision", ["visions"]), ("research area", []), ("导师方向", []), ("可以编程课题", ["可以编程"]), ("", []), (None, []),
+    ],
+)
+def test_topics_of_questions(spark, query, want):
+    from tessella.functions import extract
+
+    df = spark.createDataFrame([(query,)], "q string")
+    assert df.select(extract.topics("q", places=("学院",), known=("可以编程",)).alias("t")).first()["t"] == want
