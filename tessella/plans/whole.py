@@ -223,6 +223,28 @@ def name_alike(spark, sf_dir):
     return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), hop.alike(F.col("a.n_name"), F.col("b.n_name")).alias("alike"))
 
 
+def person_lines(spark, sf_dir):
+    """Persons in lines of names made for each document: both scripts, Latin alone, and two persons before one parenthesis."""
+    # Names in two scripts.
+    han, latin = (F.array(*map(F.lit, x)) for x in (("张三", "李四", "王小明", "赵敏"), ("San Zhang", "Si Li", "Xiaoming Wang", "Min Zhao")))
+    a, b = F.pmod("doc_id", F.lit(4)).cast("int"), F.expr("cast(doc_id div 4 % 4 AS int)")
+    kind = F.expr("doc_id div 16 % 3")
+    two = F.concat(F.get(han, a), F.lit("、"), F.get(han, b), F.lit("("), F.get(latin, a), F.lit(", "), F.get(latin, b), F.lit(")"))
+    line = F.when(kind == 0, F.concat(F.get(han, a), F.lit("("), F.get(latin, a), F.lit(")"))).when(kind == 1, F.get(latin, a)).otherwise(two)
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(hop.persons(line)).alias("pos", "p"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "p.cjk", "p.latin")
+
+
+def reply_shapes(spark, sf_dir):
+    """Replies of three shapes made of each turn of a conversation, read back."""
+    name, kind = F.concat(F.lit("k"), F.col("conv_id")), F.col("turn") % 3
+    fenced = F.concat(F.lit('```json\n{"keywords": ["'), "role", F.lit('", "'), name, F.lit('"]}\n```'))
+    action = F.concat(F.lit('{"action": "search", "query": "x", "keywords": ["'), name, F.lit('"]}'))
+    reply = F.when(kind == 0, fenced).when(kind == 1, F.concat(F.lit("alpha, "), "role", F.lit("; "), name)).otherwise(action)
+    decision = assist.parse_decision(reply)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(assist.parse_keywords(reply), "|").alias("keywords"), decision["action"].alias("action"))
+
+
 def hit_classes(spark, sf_dir):
     """Hits of nine shapes around every document, for one code and two persons."""
     k = F.pmod("doc_id", F.lit(9)).cast("int")
@@ -329,6 +351,9 @@ SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTIT
 q AS (SELECT 1::BIGINT AS query_id, * FROM c WHERE contains(hay, 'cs101') OR contains(hay, '学分') OR contains(hay, 'nation') UNION ALL SELECT 2, * FROM c WHERE contains(hay, '2024') OR contains(hay, '2025') OR contains(hay, 'office') OR contains(hay, 'heat'))
 SELECT query_id, doc_id AS chunk_id, 20.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (n_chars % 100) DESC, doc_id) AS k FROM q) WHERE k <= 30"""),
     "name_alike": (name_alike, "SELECT a.n_name AS a, b.n_name AS b, a.n_name = b.n_name OR (len(list_intersect(list_distinct(string_split(a.n_name, '')), string_split(b.n_name, ''))) >= 2 AND len(list_intersect(list_distinct(string_split(a.n_name, '')), string_split(b.n_name, ''))) >= least(length(a.n_name), length(b.n_name)) - 1) AS alike FROM nation a JOIN nation b ON a.n_nationkey <= b.n_nationkey"),
+    "person_lines": (person_lines, """WITH n AS (SELECT ['张三', '李四', '王小明', '赵敏'] AS h, ['San Zhang', 'Si Li', 'Xiaoming Wang', 'Min Zhao'] AS l), t AS (SELECT doc_id, doc_id % 4 AS a, doc_id // 4 % 4 AS b, doc_id // 16 % 3 AS k FROM documents)
+SELECT doc_id, 0::BIGINT AS pos, CASE k WHEN 1 THEN '' ELSE h[a + 1] END AS cjk, l[a + 1] AS latin FROM t, n UNION ALL SELECT doc_id, 1, h[b + 1], l[b + 1] FROM t, n WHERE k = 2 AND a <> b"""),
+    "reply_shapes": (reply_shapes, "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role || '|k' || conv_id WHEN 1 THEN 'alpha|' || role || '|k' || conv_id ELSE 'k' || conv_id END AS keywords, CASE turn % 3 WHEN 0 THEN 'answer' ELSE 'search' END AS action FROM conversations"),
     "hit_classes": (hit_classes, r"""WITH h AS (SELECT doc_id, ['# cs101 ', '任课教师 CS101, ', '任课教师 课程代码: CS101x ', '任课教师 XCS101 ', 'Research Interests: ', '办公室: 1 ', '张三老师 ', '张三丰 ', 'by Ada-LOVElace '][(doc_id % 9 + 1)::INT] || text AS text,
   CASE source WHEN 'src3' THEN 'cs101' WHEN 'src4' THEN 'My HomePage' ELSE source END AS title, CASE lang WHEN 'fr' THEN 'https://a.example/Faculty/1' WHEN 'de' THEN 'https://a.example/courses/1' ELSE 'https://a.example/1' END AS url,
   CASE source WHEN 'src1' THEN 'courses' WHEN 'src2' THEN 'contacts' ELSE 'web' END AS category FROM documents),
