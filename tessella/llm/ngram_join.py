@@ -7,7 +7,9 @@ shingles that are frequent in the corpus last, so that a passage many documents
 none of them together. Within a prefix
 shingle, a signature tree finds the candidate pairs: its nodes hold OR-combined bitmaps and
 size ranges, and dual traversal drops every node pair whose largest possible overlap is too
-small. Candidates are then checked on their whole sets.
+small. Candidates are then checked on their whole sets. A group whose tree would be one leaf sends
+no bitmaps: its pairs are written out, counted over all groups and kept if they meet in as many
+prefix shingles as similar sets must and the bitmaps, sent once a pair, allow it.
 
 Large groups of near copies would make every pair of them a candidate. So the trees are searched
 in rounds: at first each document brings only its most similar candidate of each prefix group,
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,7 +45,7 @@ from .components import components
 from .frequent import heaviest
 from .line_dedup import Bits
 from .shingles import SIG_BITS, bitmap, set_key, shingle_sets
-from .signature_tree import BestPartners, SignatureTree, alike, close_pairs
+from .signature_tree import BestPartners, SignatureTree, alike, close_pairs, largest_overlap
 
 #: Shingle occurrences that a task counts together; a shingle is frequent there if it is in two of the documents, and in one of so many.
 _COUNTED, _OFTEN = 1_000_000, 300
@@ -51,7 +53,7 @@ _COUNTED, _OFTEN = 1_000_000, 300
 _MOST_FREQUENT = 200_000
 #: A prefix has one more shingle, and similar sets one more in common there, for so many shingles of a set.
 _SHARE = 64
-#: Members of a prefix group whose tree is one leaf.
+#: Members of a prefix group whose tree is one leaf; its pairs are counted instead.
 _LEAF = 16
 #: Keys of sets that a task remembers in order not to repeat a copy's prefix.
 _SEEN = 200_000
@@ -186,9 +188,11 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
         yield from in_batches(rows(), pa.schema([("key", pa.binary()), ("s", pa.binary())]), 512)
 
     found = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter("text IS NOT NULL").mapInArrow(scan, "key binary, s binary")
-    sets = written(wanted.select("nid", "key").join(found, "key").groupBy("nid").agg(F.first("s").alias("s")), "candidates")
+    # a key has one node: grouped as they were joined
+    sets = written(wanted.select("nid", "key").join(found, "key").groupBy("key", "nid").agg(F.first("s").alias("s")).select("nid", "s"), "candidates")
+    free_shuffles(spark)
     right = pairs.join(sets.select(F.col("nid").alias("b"), F.col("s").alias("y")), "b")
-    left = sets.join(pairs.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi").select(F.col("nid").alias("a"), F.col("s").alias("x"))
+    left = sets.select(F.col("nid").alias("a"), F.col("s").alias("x"))  # the same shuffle of all sets
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +213,85 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
     return links
 
 
+def _members(postings: DataFrame) -> DataFrame:
+    """Of ``token, nid``: ``token, a, size`` for the members of groups larger than a leaf, ``a, b`` for each pair of the others; written once."""
+    arrow = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64())])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+
+        def out(token: np.ndarray, nid: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            large = np.flatnonzero(size > _LEAF)
+            none = pa.nulls(len(large), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(token[large]), pa.array(nid[large]), none, pa.array(size[large])], schema=arrow)
+            small = np.flatnonzero(size <= _LEAF)
+            token, nid = token[small], nid[small]
+            for step in range(1, _LEAF):
+                near = np.flatnonzero(token[step:] == token[:-step])
+                if not len(near):
+                    break
+                a, b, none = nid[near], nid[near + step], pa.nulls(len(near), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none], schema=arrow)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            # rows of a group follow each other; the last group may go on in the next batch
+            end = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
+            if not end and now[2][0] > _LEAF:
+                end = len(now[0])
+            held = [c[end:] for c in now]
+            yield from out(*[c[:end] for c in now])
+        yield from out(*held)
+
+    # one shuffle, by shingle, for the groups' counts and for their members
+    sized = postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1")
+    return written(sized.select("token", "nid", "size").mapInArrow(part, "token long, a long, b long, size long"), "members")
+
+
+def _counted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, met, need, like`` of the distinct ``pairs`` that the leaf's test leaves: how often they meet, how often they must; written once."""
+    own = lambda c, *more: nodes.select(F.col("nid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
+    both = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).join(own("a", "n"), "a").join(own("b", "n"), "b")
+    fit = both.filter((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+    fit = written(fit, "fit")  # bitmaps are sent for these alone
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not (k := len(batch)):
+                continue
+            met, n_a, n_b = (batch.column(c).to_numpy() for c in ("met", "n_a", "n_b"))
+            sig = np.frombuffer(b"".join(batch.column("sig_a").to_pylist() + batch.column("sig_b").to_pylist()), np.uint8).reshape(2 * k, SIG_BITS // 8).view(np.uint64)
+            n, at = np.concatenate([n_a, n_b]), np.arange(k)
+            overlap = largest_overlap(sig, n - np.bitwise_count(sig).sum(axis=1), n, at, at + k)
+            ok = pa.array((100 + percent) * overlap >= percent * (n_a + n_b))
+            need, like = pa.array(_common(np.minimum(n_a, n_b)), pa.int64()), pa.array(met / (n_a + n_b))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "met")], need, like], ["a", "b", "met", "need", "like"]).filter(ok)
+
+    signed = fit.join(own("a", "sig"), "a").join(own("b", "sig"), "b").select("a", "b", "met", "n_a", "n_b", "sig_a", "sig_b")
+    counted = written(signed.mapInArrow(test, "a long, b long, met long, need long, like double"), "counted")
+    drop_written(fit)
+    return counted
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those of ``pairs`` that aren't in one component yet."""
+    if labels is None:
+        return pairs
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
+
+
+def _best(counted: DataFrame) -> DataFrame:
+    """``a, b``: of each node the pair that meets most often for its sizes, if it meets often enough in these groups alone."""
+    enough = counted.filter("met >= need")
+    both = enough.select("a", "b", "like").union(enough.select("b", "a", "like"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, best: bool, mixed: bool) -> DataFrame:
     """``token, a, b, need``: candidate pairs that the signature trees of prefix groups with two labels or more leave; written once.
 
@@ -283,7 +366,9 @@ def _searched(members: DataFrame, nodes: DataFrame, percent: int, cell: int, bes
 
     # no count is given, so that the number of partitions follows the session's setting
     dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return written(dealt.mapInArrow(search, "token long, a long, b long, need long"), "tree-pairs")
+    found = written(dealt.mapInArrow(search, "token long, a long, b long, need long"), "tree-pairs")
+    free_shuffles(nodes.sparkSession)
+    return found
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cell: int = 1024, best_rounds: int = 2) -> DataFrame:
@@ -305,12 +390,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = written(prefixes.select("nid", "tokens"), "prefixes")
     frequent.destroy()
     free_shuffles(spark)
-    # dealt by shingle once, for the groups' counts and for their members
-    postings = prefixes.select(F.explode("tokens").alias("token"), "nid").repartition("token")
-    sizes = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(postings.join(sizes, "token").select("token", "nid", "size"), "members")
+    parted = _members(prefixes.select(F.explode("tokens").alias("token"), "nid"))
     drop_written(prefixes)
     free_shuffles(spark)
+    members = parted.filter("b IS NULL").select("token", F.col("a").alias("nid"), "size")
+    counted = _counted(parted.filter("b IS NOT NULL").select("a", "b"), nodes, percent)
+    free_shuffles(spark)
 
     links = labels = None
     for best in (*[True] * best_rounds, False):
@@ -325,11 +410,13 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # only groups with a candidate, or too large to have been searched whole, can have one later
             live = found.select("token").union(members.filter(F.col("size") > cell).select("token")).distinct()
             members = written(members.join(live, "token", "left_semi"), "live-members")
+            drop_written(parted)
         if best:
-            pairs = found.filter("a >= 0").select("a", "b").distinct()
+            pairs = found.filter("a >= 0").select("a", "b").union(_best(_apart(counted, labels))).distinct()
         else:
             # a pair that may be similar comes from the group of every shingle that its prefixes share
-            pairs = found.groupBy("a", "b", "need").agg(F.count("*").alias("met")).filter("met >= need").select("a", "b")
+            met = found.select("a", "b", "need", F.lit(1).cast("long").alias("met")).union(_apart(counted, labels).select("a", "b", "need", "met"))
+            pairs = met.groupBy("a", "b", "need").agg(F.sum("met").alias("met")).filter("met >= need").select("a", "b")
         new = _similar(docs, written(pairs, "pairs"), nodes, words, percent)
         drop_written(found)
         links = new if links is None else links.union(new)
