@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import col, matches, text_parts, tokens
+from ..sources.stored import scratch
 
 #: Distinct query terms, and query vectors in one block, that may be broadcast.
 MOST_TERMS, MOST_VECTORS = 100_000, 4096
+#: Distinct query terms that are looked up inside a row; more are joined.
+MOST_LISTED = 1000
 
 
 def top_k(rows: DataFrame, k: int, by: Sequence[str] = ("query_id",), order: Sequence[Column] | None = None, rank: str = "rank") -> DataFrame:
@@ -72,7 +75,11 @@ def phrase_postings(docs: DataFrame, lengths: Sequence[int], text_col: str = "te
 def field_stats(docs: DataFrame, fields: Sequence[str], wide: bool = False) -> DataFrame:
     """``field, n_docs, avg_len``."""
     parts = [docs.select(F.lit(f).alias("field"), F.size(tokens(f, wide)).alias("len")) for f in fields]
-    return reduce(DataFrame.unionByName, parts).groupBy("field").agg(F.count("*").alias("n_docs"), F.greatest(F.sum("len") / F.count("*"), F.lit(1e-9)).alias("avg_len"))
+    return _length_stats(reduce(DataFrame.unionByName, parts))
+
+
+def _length_stats(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.greatest(F.sum("len") / F.count("*"), F.lit(1e-9)).alias("avg_len"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -106,11 +113,29 @@ def _only(posted: DataFrame, terms: DataFrame):
     return posted.join(small(wanted), "token", "left_semi"), small
 
 
+def query_postings(docs: DataFrame, fields: Sequence[str], terms: DataFrame, id_col: str = "chunk_id", wide: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Postings (all that are among ``terms``), and the ``field_stats`` of all documents, from one reading of the texts.
+
+    A row's tokens are cut once, for its length and for the queries' tokens in it, and only these are sorted and written.
+    With more than ``MOST_LISTED`` terms, all postings, nothing written.
+    """
+    listed = [r[0] for r in terms.select("token").distinct().limit(MOST_LISTED + 1).collect()]
+    if len(listed) > MOST_LISTED:
+        return postings(docs, fields, id_col, wide), field_stats(docs, fields, wide)
+    cut = reduce(DataFrame.unionByName, [docs.select(F.col(id_col).alias("chunk_id"), F.lit(f).alias("field"), tokens(f, wide).alias("all")) for f in fields])
+    words = scratch(cut.select("chunk_id", "field", F.sort_array(F.filter("all", lambda t: t.isin(listed))).alias("toks"), F.size("all").cast("long").alias("len")), "query-postings")
+    posted = [_runs(words.filter(F.col("field") == f)).withColumn("field", F.lit(f)).select("chunk_id", "field", "token", "tf", "len") for f in fields]
+    return reduce(DataFrame.unionByName, posted), _length_stats(words)
+
+
 def bm25f(docs: DataFrame, queries: DataFrame, weights: Mapping[str, float] = fixed.BM25F_WEIGHTS, b: Mapping[str, float] = fixed.BM25F_B, k1: float = 1.5, categories: Sequence[str] | None = None, id_col: str = "chunk_id", posted: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_id, score``. Document frequencies and lengths are of all documents, whatever ``categories`` lets through."""
     fields = list(weights)
     terms = query_terms(queries)
-    posted, small = _only(posted if posted is not None else postings(docs, fields, id_col), terms)
+    if posted is None:
+        posted, own = query_postings(docs, fields, terms, id_col)
+        stats = stats if stats is not None else own
+    posted, small = _only(posted, terms)
     stats = stats if stats is not None else field_stats(docs, fields)
     table = stats.select("field", "n_docs", "avg_len")
     weight, slope = F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.create_map(*[F.lit(x) for f in fields for x in (f, float(b.get(f, 0.75)))])
@@ -125,10 +150,14 @@ def bm25f(docs: DataFrame, queries: DataFrame, weights: Mapping[str, float] = fi
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * (k1 + 1.0) * F.col("wtf") / (k1 + F.col("wtf"))).alias("score"))
 
 
-def fts_bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id", categories: Sequence[str] | None = None) -> DataFrame:
-    """``query_id, chunk_id, score`` of a full-text search: one field, inverse frequency never below 1e-6; frequencies are of all documents, whatever ``categories`` lets through."""
+def fts_bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id", categories: Sequence[str] | None = None, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``query_id, chunk_id, score`` of a full-text search: one field, inverse frequency never below 1e-6; frequencies are of all documents, whatever ``categories`` lets through.
+
+    ``found``: the field's postings and statistics, as ``query_postings`` gives them, if they are there already.
+    """
     terms = query_terms(queries, wide, most_terms)
-    return _full_text(docs, postings(docs, [text_col], id_col, wide), field_stats(docs, [text_col], wide), terms, k1, b, id_col, categories)
+    posted, stats = found or query_postings(docs, [text_col], terms, id_col, wide)
+    return _full_text(docs, posted, stats, terms, k1, b, id_col, categories)
 
 
 def fts_phrases(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = 1.2, b: float = 0.75, most_terms: int = 48, wide: bool = False, id_col: str = "chunk_id", categories: Sequence[str] | None = None) -> DataFrame:

@@ -82,8 +82,10 @@ def vector_norms(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    lexical = rank.top_k(rank.bm25f(docs, asked(spark), {"text": 1.0}, {"text": 0.75}).withColumn("score", F.round("score", 6)), 50)
-    full_text = rank.top_k(rank.fts_bm25(docs, asked(spark)).withColumn("score", F.round("score", 6)), 50)
+    # both channels search one field: its texts are cut into tokens once
+    found = rank.query_postings(docs, ["text"], rank.query_terms(asked(spark)))
+    lexical = rank.top_k(rank.bm25f(docs, asked(spark), {"text": 1.0}, {"text": 0.75}, posted=found[0], stats=found[1]).withColumn("score", F.round("score", 6)), 50)
+    full_text = rank.top_k(rank.fts_bm25(docs, asked(spark), found=found).withColumn("score", F.round("score", 6)), 50)
     both = lexical.select("query_id", F.lit("lexical").alias("channel"), "chunk_id", "rank", "score").unionByName(full_text.select("query_id", F.lit("structured").alias("channel"), "chunk_id", "rank", "score"))
     fused = rank.rrf(both).withColumn("score", F.round("score", 9))
     return rank.top_k(fused, 20, order=[F.desc("score"), F.desc("best"), F.col("chunk_id")]).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__
-from tessella.operators import dedup
+from tessella.operators import dedup, rank
 
 TOKEN = re.compile(r"[a-zA-Z][a-zA-Z0-9_+#.-]*|\d+(?:\.\d+)?")
 
@@ -64,3 +64,12 @@ def test_rounds_of_a_pool_choose_what_one_group_does(spark):
     for k in (3, 8):
         want = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dedup.greedy_diverse(hits, k).collect())
         assert want and sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dedup.greedy_diverse(hits, k, pool=2).collect()) == want
+
+
+@pytest.mark.parametrize("query", ["rrf_fusion", "bm25f_topk"])
+def test_searches_cut_each_text_once(run, monkeypatch, query):
+    cut, of = [], rank.tokens
+    monkeypatch.setattr(rank, "tokens", lambda c, wide=False: cut.append(c) or of(c, wide))
+    docs = [(1, "the nation of the", "en", "src1"), (2, None, "de", "src2"), (3, "der und die die", "fr", "src3"), (4, "", "en", "src4")]
+    rows = run(query, documents=(docs, "doc_id long, text string, lang string, source string"))
+    assert cut.count("text") == 1 and {(r["query_id"], r["chunk_id"], r["rank"]) for r in rows} == {(1, 1, 1), (5, 3, 1)}
