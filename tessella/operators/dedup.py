@@ -48,6 +48,13 @@ def cap_per(rows: DataFrame, groups: Sequence[str], most: int, order: Sequence[C
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
+def solid(c, n: int) -> Column:
+    """The first ``n`` characters of a text that aren't white space; where the text's beginning has as many, the rest is not searched."""
+    c = F.col(c) if isinstance(c, str) else c
+    lead = F.regexp_replace(F.substring(c, 1, 2 * n), r"(?U)\s+", "")
+    return F.substring(F.when(F.length(lead) >= n, lead).otherwise(F.regexp_replace(c, r"(?U)\s+", "")), 1, n)
+
+
 def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrases: str | None = None, pool: int | None = None) -> DataFrame:
     """Per query the first ``top_k`` hits, by score, that repeat no text, place or title and keep to a cap per source and per title.
 
@@ -56,7 +63,6 @@ def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrase
     hundred, are one group; only keys are sent, not texts. For more candidates, ``pool`` is how many are one group at once:
     what the hits taken so far rule out is dropped and the next best follow, until ``top_k`` are taken or none is left.
     """
-    solid = F.regexp_replace("text", r"(?U)\s+", "")
     low = F.lower(F.coalesce("title", F.lit("")))
     lists = [F.col(c) if c else F.array().cast("array<string>") for c in (codes, phrases)]
     named = F.exists(lists[0], lambda c: F.contains(F.upper("title"), c)) | F.exists(lists[1], lambda p: (p != "") & F.contains(F.col("title"), p))
@@ -64,9 +70,9 @@ def greedy_diverse(hits: DataFrame, top_k: int, codes: str | None = None, phrase
     many = low.contains("schedule") | low.contains("class sched") | low.contains("课程表") | low.contains("课表") | low.contains("培养方案") | low.contains("program")
     keys = hits.select(
         "query_id", "chunk_id", "score",
-        F.xxhash64(F.substring(solid, 1, 700)).alias("text_key"),
+        F.xxhash64(solid("text", 700)).alias("text_key"),
         F.xxhash64("path", "title", "chunk_index").alias("place_key"),
-        F.xxhash64(F.regexp_replace(low, r"(?U)\s+", ""), F.substring(solid, 1, 240)).alias("title_text_key"),
+        F.xxhash64(F.regexp_replace(low, r"(?U)\s+", ""), solid("text", 240)).alias("title_text_key"),
         source_key("url", "path").alias("source_key"),
         F.regexp_replace(low, r"(?U)\s+", "").alias("title_key"),
         F.when(named | many, 2).otherwise(1).alias("title_limit"),

@@ -147,9 +147,9 @@ def per_source_cap(spark, sf_dir):
 
 def greedy_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    # read for the keys and for the hits taken
+    # read for the keys and for the hits taken; of a text the keys need its first 700 solid characters, so no more is joined
     scored = scratch(rank.bm25f(docs, asked(spark), {"text": 1.0}, {"text": 0.75}).withColumn("score", F.round("score", 6)), "scored")
-    hits = scored.join(docs.select("chunk_id", F.lit(0).alias("chunk_index"), F.substring("text", 1, 20).alias("title"), F.lit("").alias("url"), F.concat(F.lit("docs/"), "source").alias("path"), "text"), "chunk_id")
+    hits = scored.join(docs.select("chunk_id", F.lit(0).alias("chunk_index"), F.substring("text", 1, 20).alias("title"), F.lit("").alias("url"), F.concat(F.lit("docs/"), "source").alias("path"), dedup.solid("text", 700).alias("text")), "chunk_id")
     return dedup.greedy_diverse(hits, 8, pool=60).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -73,3 +73,9 @@ def test_searches_cut_each_text_once(run, monkeypatch, query):
     docs = [(1, "the nation of the", "en", "src1"), (2, None, "de", "src2"), (3, "der und die die", "fr", "src3"), (4, "", "en", "src4")]
     rows = run(query, documents=(docs, "doc_id long, text string, lang string, source string"))
     assert cut.count("text") == 1 and {(r["query_id"], r["chunk_id"], r["rank"]) for r in rows} == {(1, 1, 1), (5, 3, 1)}
+
+
+def test_solid_characters_behind_any_white_space(spark):
+    texts = [None, "", " \t", "a b" * 10, " " * 90 + "tail of the text", "x" * 30, "é 　日 " * 9, "ab" + " " * 50 + "cdefghijkl"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(dedup.solid("text", 8)).collect()]
+    assert got == [t if t is None else re.sub(r"\s+", "", t)[:8] for t in texts]
